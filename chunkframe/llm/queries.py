@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ._common import table
+from .quality_rules_sql import OP3_SQL
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -16,6 +17,14 @@ def op2_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark, sf_dir):
+    from .quality_rules import judge
+
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    slim = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return judge(slim, output="_judged").select("doc_id", *(F.col(f"_judged.{x}") for x in names))
+
+
 def op5_exact_topk(spark, sf_dir):
     from .topk_blocks import top_k
 
@@ -28,11 +37,12 @@ def op6_byte_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op5_exact_topk, op6_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op5_exact_topk, op6_byte_bpe)}
 
 ORACLE_SQL = {
+    "op3_quality_rules": OP3_SQL,
     "op5_exact_topk": """
-WITH q AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings),
+WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
       FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)

@@ -64,7 +64,7 @@ def search_pack(q_ids, q, c_ids, c, k: int, block: int):
             all_s = np.concatenate((best_s[at], score), 1)
             all_i = np.concatenate((best_i[at], np.broadcast_to(ids, score.shape)), 1)
             all_i[all_s == _NONE] = _LAST
-            top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+            top = np.lexsort((all_i, ~all_s), axis=1)[:, :k]
             best_s[at] = np.take_along_axis(all_s, top, 1)
             best_i[at] = np.take_along_axis(all_i, top, 1)
     row, col = np.nonzero(best_s > _NONE)

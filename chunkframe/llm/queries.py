@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ._common import table
 from .quality_rules_sql import OP3_SQL
+from .secret_scan_sql import op9_sql
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -37,10 +38,17 @@ def op6_byte_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op5_exact_topk, op6_byte_bpe)}
+def op9_secret_ownership(spark, sf_dir):
+    from .secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("all_spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op5_exact_topk, op6_byte_bpe, op9_secret_ownership)}
 
 ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
+    "op9_secret_ownership": op9_sql(),
     "op5_exact_topk": """
 WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score

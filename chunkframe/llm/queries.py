@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ._common import table
+from .licence_scan import op8_sql
 from .quality_rules_sql import OP3_SQL
 from .secret_scan_sql import op9_sql
 
@@ -38,17 +39,68 @@ def op6_byte_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op7_temperature_mixing(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), target_entropy=0.9, budget_ratio=1.0)
+
+
+def op8_licence_dice(spark, sf_dir):
+    from .licence_scan import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_secret_ownership(spark, sf_dir):
     from .secret_scan import scan
 
     return scan(table(spark, sf_dir, "documents")).drop("all_spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op5_exact_topk, op6_byte_bpe, op9_secret_ownership)}
+# A dated block list; ``pages`` has no fetch time, so the capture of page
+# n counts as fetched n modulo 365 days after the first day of 2024.
+BLOCK_LIST = [
+    ("free-bets.example.com", "2024-02-01", "add"),
+    ("free-bets.example.com", "2024-05-01", "remove"),
+    ("free-bets.example.com", "2024-08-15", "add"),
+    ("therhe.example.net", "2024-01-10", "add"),
+    ("blog.tionsh.example.net", "2024-03-01", "add"),
+    ("blog.tionsh.example.net", "2024-03-20", "add"),
+    ("blog.tionsh.example.net", "2024-09-01", "remove"),
+    ("example.org", "2024-11-01", "add"),
+    ("example.org", "2024-11-21", "remove"),
+    ("ththed.example.org", "2024-06-01", "remove"),
+]
+_FETCHED = "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(CAST(page_id % 365 AS INT))"
+
+
+def op10_url_temporal_lists(spark, sf_dir):
+    from .url_lists import judge
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_FETCHED).alias("fetched_at"))
+    entries = spark.createDataFrame(BLOCK_LIST, "domain string, listed_on string, action string")
+    return judge(pages, entries).select("page_id", "host", "listed_domain", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op5_exact_topk, op6_byte_bpe, op7_temperature_mixing, op8_licence_dice, op9_secret_ownership, op10_url_temporal_lists)}
+
+def op10_sql():
+    rows = ", ".join(f"('{d}', TIMESTAMP '{t} 00:00:00', '{a}')" for d, t, a in BLOCK_LIST)
+    return f"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, nullif(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+?)[.]?(?::[0-9]*)?(?:[/?#].*)?$', 1), '') AS host,
+           TIMESTAMP '2024-01-01 00:00:00' + CAST(page_id % 365 AS INTEGER) * INTERVAL 1 DAY AS ts FROM pages),
+e(domain, ts, action) AS (VALUES {rows}),
+met AS (SELECT p.rid, e.domain, e.action, row_number() OVER (PARTITION BY p.rid, e.domain ORDER BY e.ts DESC, e.action DESC) AS k
+        FROM p JOIN e ON (p.host = e.domain OR p.host LIKE '%.' || e.domain) AND e.ts <= p.ts),
+best AS (SELECT rid, max_by(domain, length(domain)) AS listed_domain FROM met WHERE k = 1 AND action = 'add' GROUP BY rid)
+SELECT page_id, host, listed_domain, listed_domain IS NULL AS kept FROM p LEFT JOIN best USING (rid)"""
+
 
 ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
+    "op8_licence_dice": op8_sql(),
     "op9_secret_ownership": op9_sql(),
+    "op10_url_temporal_lists": op10_sql(),
     "op5_exact_topk": """
 WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score

@@ -13,6 +13,17 @@ from .secret_scan_sql import op9_sql
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_byte_cnn_quality(spark, sf_dir):
+    from .byte_cnn import ByteCNN, score
+    from .labelled import held_out, sample
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = sample(documents, table(spark, sf_dir, "labels"), "quality", folds=3, held=1)
+    model = ByteCNN().fit([t for t, _ in seen], [y for _, y in seen])
+    scored = score(documents, model).drop("text")
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_simhash_near_dedup(spark, sf_dir):
     from .simhash import near_duplicates
 
@@ -27,6 +38,17 @@ def op3_quality_rules(spark, sf_dir):
     return judge(slim, output="_judged").select("doc_id", *(F.col(f"_judged.{x}") for x in names))
 
 
+def op4_noisy_channel_toxicity(spark, sf_dir):
+    from .labelled import held_out, sample
+    from .toxicity import Toxicity, score
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = sample(documents, table(spark, sf_dir, "labels"), "toxic", folds=5, held=0)
+    model = Toxicity().fit([t.decode() for t, _ in seen], [y for _, y in seen])
+    scored = score(documents, model).drop("text")
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_exact_topk(spark, sf_dir):
     from .topk_blocks import top_k
 
@@ -82,7 +104,13 @@ def op10_url_temporal_lists(spark, sf_dir):
     return judge(pages, entries).select("page_id", "host", "listed_domain", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op5_exact_topk, op6_byte_bpe, op7_temperature_mixing, op8_licence_dice, op9_secret_ownership, op10_url_temporal_lists)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_cnn_quality, op2_simhash_near_dedup, op3_quality_rules, op4_noisy_channel_toxicity, op5_exact_topk,
+        op6_byte_bpe, op7_temperature_mixing, op8_licence_dice, op9_secret_ownership, op10_url_temporal_lists,
+    )
+}
 
 def op10_sql():
     rows = ", ".join(f"('{d}', TIMESTAMP '{t} 00:00:00', '{a}')" for d, t, a in BLOCK_LIST)

@@ -161,13 +161,18 @@ def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     by_text = seen.select("key", "hash").distinct().join(live.where("live"), F.col("hash") == F.col("h"))
     by_text = written(by_text.groupBy(F.col("key").alias(key)).agg(F.collect_set("hash").alias(live_col)), "live-by-text")
 
+    def masked(t, pattern, secret):
+        return let(t, lambda x: _replaced(x, pattern, secret, mask))  # t once, or the expression doubles at each pattern
+
+    def long_enough(pattern, least):
+        return lambda m: F.length(F.regexp_extract(m, pattern, 1)) >= least if least else F.lit(True)
+
     def clean(t, lives):
         for pattern, least in BASE.values():
-            enough = (lambda m, p=pattern, n=least: F.length(F.regexp_extract(m, p, 1)) >= n) if least else (lambda m: F.lit(True))
-            t = let(_replaced(t, pattern, enough, mask), lambda x: x)
+            t = masked(t, pattern, long_enough(pattern, least))
         if lives is not None:
             for pattern, _ in CANDIDATES.values():
-                t = let(_replaced(t, pattern, lambda m: F.array_contains(lives, F.sha2(m, 256)), mask), lambda x: x)
+                t = masked(t, pattern, lambda m: F.array_contains(lives, F.sha2(m, 256)))
         return t
 
     quiet = hashed.where(F.size(more_col) == 0).withColumn(text_col, clean(F.col(text_col), None)).select(*df.columns)

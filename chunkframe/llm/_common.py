@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -61,5 +60,8 @@ def scratch_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+def without(df: DataFrame, *names: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without the columns that an output is about to replace (any case); columns
+    in ``keep`` are the operator's inputs and stay."""
+    gone = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone or c in keep))

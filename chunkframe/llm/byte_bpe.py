@@ -8,8 +8,8 @@ only a part of a character gives exactly its bytes back.
 
 Defined results: a null text encodes as the empty text (no ids, zero bytes);
 null ids decode to zero bytes; empty tables give empty tables; repeated rows
-are encoded once per row; all other columns pass through untouched (an output
-name that the input already has is an error, raised before any job runs).
+are encoded once per row; all other columns pass through untouched, but an input
+column with the name of an output is replaced by it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import without
+
 #: Texts are handed to the library in slices of about so many characters, so the
 #: memory of a worker does not depend on how many rows Spark puts into a batch.
 SLICE_CHARS = 400_000
@@ -107,8 +109,7 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", outputs: tupl
     """Add the columns ``outputs`` to ``df``: ``n_tokens``, ``ids``, ``ids_le`` (the
     ids packed as little-endian unsigned 32-bit integers, the form of token shards),
     ``starts`` and ``ends`` (code points of the text that each token touches)."""
-    if clash := {c.lower() for c in df.columns} & set(outputs):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    df = without(df, *outputs, keep=(text_col,))
     definition = tokenizer_json(read_ranks(ranks_path))
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, _SPARK_TYPES[c]) for c in outputs)])
     with_offsets = bool({"starts", "ends"} & set(outputs))
@@ -137,8 +138,7 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", outputs: tupl
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids_le", output: str = "decoded") -> DataFrame:
     """Add ``output``: the bytes that the ids (packed, or an array of ints) stand for.
     An id without a token is an error."""
-    if output.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column {output} exists already")
+    df = without(df, output, keep=(ids_col,))
     ranks = read_ranks(ranks_path)
     names = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():

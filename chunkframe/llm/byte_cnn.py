@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._common import without
+
 CHUNK, OVERLAP = 1024, 64
 BLOCK, TAPS = 4, 4  # a filter sees TAPS blocks of BLOCK bytes and moves by one block
 SLICE_CHUNKS = 512
@@ -146,7 +148,9 @@ class ByteCNN:
 
 
 def score(df: DataFrame, model: ByteCNN, text_col: str = "text", output: str = "score") -> DataFrame:
-    """``df`` with the probability ``output`` that its label is 1."""
+    """``df`` with the probability ``output`` that its label is 1 (in place of an input
+    column of that name)."""
+    df = without(df, output, keep=(text_col,))
 
     def run(batches):
         for batch in batches:

@@ -51,17 +51,17 @@ def _sums(shares: DataFrame, alphas: list[float]) -> list[tuple[float, float]]:
     return [(row[f"z{j}"], row[f"s{j}"]) for j in range(len(alphas))]
 
 
-def exponent(shares: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None, budget: float = 1.0, halvings: int = 30) -> tuple[float, float]:
+def exponent(shares: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None, budget: float | None = 1.0, halvings: int = 30) -> tuple[float, float]:
     """``shares(p)`` -> (alpha, sum of p**alpha).  The largest alpha in [0, 1] whose
     entropy is at least ``target_entropy`` (0 to 1, of the most possible), or the least
     whose sources are repeated at most ``max_repetition`` times with a budget of
-    ``budget`` times all tokens.  An end of [0, 1] where the target can't be met."""
-    n, least = shares.agg(F.count("*"), F.min("p")).first()
+    ``budget`` times all tokens (None: with the least repeated source read once).  An end of [0, 1] where the target can't be met."""
+    n, least, most = shares.agg(F.count("*"), F.min("p"), F.max("p")).first()
 
     def enough(a, z, s):
         if target_entropy is not None:
             return math.log(z) - a * s / z >= target_entropy * math.log(n) - 1e-12
-        return budget * least ** (a - 1) / z <= max_repetition
+        return (least / most if budget is None else least) ** (a - 1) * (1 if budget is None else budget / z) <= max_repetition
 
     lo, hi = 0.0, 1.0
     (z0, s0), (z1, s1) = _sums(shares, [0.0, 1.0])
@@ -90,7 +90,7 @@ def plan(rows: DataFrame, target_entropy: float | None, max_repetition: float |
         alpha, z, budget = 1.0, 1.0, 0.0
     else:
         largest = shares.agg(F.max("p")).first()[0]
-        alpha, z = exponent(shares, target_entropy, max_repetition, budget_ratio or 1.0)
+        alpha, z = exponent(shares, target_entropy, max_repetition, budget_ratio)
         budget = float(total) * (budget_ratio or z * largest ** (1 - alpha))
     weight = F.col("p") ** alpha / z
     wanted = shares.select("source", "t", weight.alias("weight"), F.round(weight * budget).cast("long").alias("quota"))

@@ -9,7 +9,8 @@ histogram is judged only from a least number of words on, as short texts scatter
 
 Defined results: a null text is the empty text (no words, base fails); an unknown or
 null language is compared to the reference of all languages; empty tables give empty
-tables; repeated rows are judged row by row; columns of ``df`` pass through.
+tables; repeated rows are judged row by row; columns of ``df`` pass through, but one
+with the name of the output is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import scratch_name
+from ._common import scratch_name, without
 
 # Common function words per language, at most 26 each.
 COMMON_WORDS = {
@@ -138,8 +139,7 @@ def judge(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_wor
           output: str = "quality", found: dict | None = None) -> DataFrame:
     """Add the struct column ``output``: ``n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, class_distance, common_distance, base_failed, kept``."""
-    if output.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column {output} exists already")
+    df = without(df, output, keep=(text_col, lang_col))
     found = references(df, text_col, lang_col) if found is None else found
     text = F.coalesce(df[text_col], F.lit(""))
 

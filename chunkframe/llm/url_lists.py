@@ -11,7 +11,8 @@ and fetch time; the verdict goes back to the captures on that pair.
 Defined results: a null, empty or malformed address has no host and is kept; a null
 fetch time is judged as before all entries; several entries of one domain and time:
 ``remove`` wins over ``add``; repeated captures are judged each; an empty list keeps
-everything; empty tables give empty tables.
+everything; empty tables give empty tables; input columns with the names of the
+outputs are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import written
+from ._common import scratch_name, without, written
 
 #: scheme, credentials, host; ports, paths, queries and a final dot of the host are left out
 _HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+?)[.]?(?::[0-9]*)?(?:[/?#].*)?$"
@@ -51,14 +52,13 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """``captures`` with ``host``, ``listed_domain`` (the longest listed suffix at fetch
     time, or null) and ``kept``."""
-    if clash := {c.lower() for c in captures.columns} & {"host", "listed_domain", "kept"}:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    h, t = scratch_name(captures, "h"), scratch_name(captures, "at")
     at = F.col(time_col).cast("timestamp_ntz")
-    hosted = captures.withColumn("host", host_of(F.col(url_col)))
+    hosted = without(captures, "host", "listed_domain", "kept", keep=(url_col, time_col)).withColumn("host", host_of(F.col(url_col)))
     distinct = hosted.where(F.col("host").isNotNull()).select(F.col("host").alias("h"), at.alias("at")).distinct()
     spans = written(intervals(entries), "intervals")
     asked = distinct.withColumn("suffix", F.explode(suffixes(F.col("h"))))
     met = asked.join(spans, (F.col("suffix") == F.col("domain")) & (F.col("start") <= F.col("at")) & (F.col("stop").isNull() | (F.col("at") < F.col("stop"))))
     named = met.groupBy("h", "at").agg(F.max_by("suffix", F.length("suffix")).alias("listed_domain"))
-    named = written(named, "listed")
-    return hosted.join(named, (F.col("host") == F.col("h")) & (at == F.col("at")), "left").drop("h", "at").withColumn("kept", F.col("listed_domain").isNull())
+    named = written(named.withColumnsRenamed({"h": h, "at": t}), "listed")
+    return hosted.join(named, (F.col("host") == F.col(h)) & (at == F.col(t)), "left").drop(h, t).withColumn("kept", F.col("listed_domain").isNull())

@@ -86,6 +86,11 @@ def candidate_spans(text: Column) -> Column:
     return F.when(text.rlike(_HINT), found).otherwise(F.array().cast(_NO_SPANS))
 
 
+def _credential(s: Column) -> Column:
+    """What is compared over the corpus: of an assignment the value alone."""
+    return F.when(s["kind"] == 0, F.regexp_extract(s["value"], ASSIGN, 1)).otherwise(s["value"])
+
+
 def joined(spans: Column) -> Column:
     """``kind:start:end`` in order, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
@@ -113,19 +118,21 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
 
     ``owner_col`` names who owns a row and ``repository_col`` its repository.  A
     candidate is live with at most ``max_owners`` distinct owners and at most
-    ``max_repositories`` distinct repositories; candidates inside base spans add none."""
+    ``max_repositories`` distinct repositories.  ``n_live`` and ``n_example`` count all
+    candidates, base ones included; live ones of the further kinds add spans, unless they
+    overlap a base span."""
     text = F.coalesce(df[text_col], F.lit(""))
     slim = df.select(df[id_col].alias("doc_id"), df[owner_col].cast("string").alias("owner"), df[repository_col].cast("string").alias("repository"), text.alias("text"))
     found = slim.select("doc_id", "owner", "repository", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("more"))
-    more = F.filter("more", lambda s: ~_overlaps(F.col("base"), s))
-    hashed = F.transform(more, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
+    more = F.concat("base", F.filter("more", lambda s: ~_overlaps(F.col("base"), s)))
+    hashed = F.transform(more, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(_credential(s), 256).alias("hash")))
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     rows = written(found.select("doc_id", "owner", "repository", plain.alias("base"), hashed.alias("more"), F.monotonically_increasing_id().alias("row")), "scanned")
     seen = rows.where(F.size("more") > 0).select("row", "owner", "repository", F.explode("more").alias("s")).select("row", "owner", "repository", "s.*")
     live = ownership(seen, max_owners, max_repositories)
     judged = seen.join(live, F.col("hash") == F.col("h"))
     added = judged.groupBy("row").agg(
-        F.collect_list(F.when(F.col("live"), F.struct("start", "kind", "end"))).alias("live_spans"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example")
+        F.collect_list(F.when(F.col("live") & (F.col("kind") >= len(BASE)), F.struct("start", "kind", "end"))).alias("live_spans"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example")
     )
     out = rows.join(added.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")

@@ -85,6 +85,17 @@ def _matrices(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _segment(vec_id, cuts: list[float]):
+    """How many of the sorted ``cuts`` are below the id: first among every 32nd, then in
+    the stretch of 32 behind it."""
+    if not cuts:
+        return F.lit(0)
+    below = lambda part: F.size(F.filter(part, lambda c: c < vec_id))
+    coarse = below(F.array(*(F.lit(int(c)) for c in cuts[31::32])).cast("array<bigint>"))
+    stretches = F.array(*(F.array(*(F.lit(int(c)) for c in cuts[j : j + 32])) for j in range(0, len(cuts), 32)), F.array().cast("array<bigint>"))
+    return coarse * 32 + below(F.get(stretches, coarse))
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding",
           block_rows: int = 128, segment_rows: int = 65536, pack_rows: int = 16384) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row where the column ``is_query``
@@ -99,8 +110,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     segments = max(1, -(-n // segment_rows), min(64, -(-n // 1024)))
     packs = max(1, -(-n_queries // pack_rows))
     cuts = rows.approxQuantile("vec_id", [j / segments for j in range(1, segments)], 0.1 / segments) if segments > 1 else []
-    lower = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    segment = F.size(F.filter(lower, lambda c: c < F.col("vec_id")))
+    segment = _segment(F.col("vec_id"), cuts)
     # the stated query set against all rows, in blocks: every pack meets every segment
     asked = rows.where("is_query").withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int"))
     asked = asked.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(len(cuts))))).select("segment", "pack", "vec_id", "q")

@@ -38,6 +38,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts that go to a Python worker at once; a batch of long ones must fit its memory.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """Hold the session to Arrow batches of at most ``BATCH_ROWS`` rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def fold(doc_id="doc_id", folds: int = 3):
     """crc32 of the id as text, modulo ``folds`` (null ids: null)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

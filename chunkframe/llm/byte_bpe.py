@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import without
+from ._common import in_small_batches, without
 
 #: Texts are handed to the library in slices of about so many characters, so the
 #: memory of a worker does not depend on how many rows Spark puts into a batch.
@@ -132,7 +132,7 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", outputs: tupl
                     "ids_le": lambda: pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())}
             yield pa.RecordBatch.from_arrays([*batch.columns, *(made[c]() for c in outputs)], [*batch.schema.names, *outputs])
 
-    return df.mapInArrow(run, schema)
+    return in_small_batches(df).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids_le", output: str = "decoded") -> DataFrame:
@@ -160,7 +160,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids_le", output: str
                     out.append(b"".join(map(look, row.as_py())))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, output])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.BinaryType())]))
+    return in_small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.BinaryType())]))
 
 
 def text_of(decoded: bytes) -> str:

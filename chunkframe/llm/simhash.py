@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import scratch_name, written
+from ._common import in_small_batches, scratch_name, written
 from .components import components
 
 SEED = 42
@@ -65,7 +65,7 @@ def with_fingerprints(df: DataFrame, output: str, text_col: str = "text", shingl
             got = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got.view(np.int64))], [*batch.schema.names, output])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.LongType())]))
+    return in_small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.LongType())]))
 
 
 class BKForest:

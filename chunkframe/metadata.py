@@ -8,7 +8,7 @@ from math import prod
 
 from .codecs import Pipeline, build, completed
 from .dtypes import DType, parse
-from .errors import InvalidCodecs, InvalidMetadata, InvalidPath, UnsupportedFeature
+from .errors import ChunkframeError, InvalidCodecs, InvalidMetadata, InvalidPath, UnsupportedFeature
 
 # Names of the public v3 format.
 METADATA_KEY = "zarr.json"
@@ -79,6 +79,8 @@ class ArrayMetadata:
             encoding = keys["name"]
             separator = (keys.get("configuration") or {}).get("separator", "/" if encoding == "default" else ".")
             fill = dtype.decode_fill(doc["fill_value"])
+        except ChunkframeError:
+            raise
         except (KeyError, TypeError) as e:
             raise InvalidMetadata(f"missing or malformed member: {e}") from e
         if len(chunk) != len(shape):

@@ -288,6 +288,46 @@ class Array:
 
         return self._chunk_table(spark, start, count).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
+    def map_blocks(self, spark: SparkSession, make, start=None, count=None) -> int:
+        """Assign a region by ``make(start, extent)``, which gives the values of a box; it runs
+        in the tasks, once per chunk, so neither cells nor blocks cross the network.
+        Returns the bytes stored."""
+        self._distributed()
+        start, count = region(self.shape, start, count)
+        store, path, meta, keep, bounds = self.store, self.path, self.meta, self.write_empty_chunks, Bounds.of(start, count)
+
+        def run(batches):
+            for batch in batches:
+                n = 0
+                for coords in zip(*(c.to_pylist() for c in batch.columns)):
+                    part = bounds.part(coords, meta.chunk_shape)
+                    n += patch_block(store, path, meta, part, meta.dtype.coerce(make(part.out, part.n)), keep)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+        return self._chunk_table(spark, start, count).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0 if prod(count) else 0
+
+    def statistics(self, spark: SparkSession, start=None, count=None) -> DataFrame:
+        """``chunk, n, total, least, greatest`` of each chunk's part of a region (numeric types),
+        computed on decoded blocks in the tasks: no cell becomes a row."""
+        if self.meta.dtype.kind not in ("bool", "int", "uint", "float"):
+            raise Indexing(f"no statistics of {self.dtype}")
+        start, count = region(self.shape, start, count)
+        store, path, meta, bounds = self.store, self.path, self.meta, Bounds.of(start, count)
+
+        def run(batches):
+            for batch in batches:
+                rows = []
+                for coords in zip(*(c.to_pylist() for c in batch.columns)):
+                    part = bounds.part(coords, meta.chunk_shape)
+                    block = read_part(store, path, meta, part)
+                    block = (meta.dtype.filled(part.n, meta.fill) if block is None else block).astype(np.float64)
+                    rows.append((list(map(int, coords)), block.size, float(block.sum()), float(block.min()), float(block.max())))
+                chunk, *numbers = zip(*rows) if rows else ([],) * 5
+                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.list_(pa.int64())), pa.array(numbers[0], pa.int64()), *(pa.array(c, pa.float64()) for c in numbers[1:])], names=["chunk", "n", "total", "least", "greatest"])
+
+        table = self._chunk_table(spark, start, count) if prod(count) else spark.range(0).select(*(F.lit(0).alias(f"k{d}") for d in range(self.ndim)))
+        return table.mapInArrow(run, "chunk array<bigint>, n bigint, total double, least double, greatest double")
+
     # -- shape ---------------------------------------------------------------
     def resize(self, shape) -> None:
         """Change the shape: metadata first, then chunks outside go and cells of boundary

@@ -142,7 +142,22 @@ def block_scan(spark, sf_dir):
     return df.select((F.col("chunk")[0] * 3 + F.col("chunk")[1]).alias("block"), (F.length("data") / 4).cast("bigint").alias("cells"))
 
 
+@_query("SELECT event_id // 1024 AS chunk, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS greatest FROM events GROUP BY 1")
+def chunk_statistics(spark, sf_dir):
+    df = vector(spark, sf_dir, "events", "event_id", "value").statistics(spark)
+    return df.select(F.col("chunk")[0].alias("chunk"), "n", F.round("total", 4).alias("total"), "least", "greatest")
+
+
 # -- writes ------------------------------------------------------------------
+@_query("SELECT CAST(j AS BIGINT) AS i0, CAST(j * j AS DOUBLE) AS value FROM range(5000) t(j)")
+def map_blocks(spark, sf_dir):
+    import numpy as np
+
+    array = catalog.create(_store(spark), [5000], "float64", chunk_shape=[512], codecs=[_entry("zstd")])
+    array.map_blocks(spark, lambda start, extent: np.arange(start[0], start[0] + extent[0], dtype=float) ** 2)
+    return array.cells(spark)
+
+
 @_query("SELECT event_id AS i0, CASE WHEN event_id BETWEEN 300 AND 899 THEN -value ELSE value END AS value FROM events")
 def rmw_update(spark, sf_dir):
     array = vector(spark, sf_dir, "events", "event_id", "value")

@@ -16,12 +16,12 @@ from pyspark.sql import types as T
 from ..codecs import build
 from ..errors import Indexing, ShapeFlattened, ShapeMismatch, StoreError
 from ..functions.cells import chunk_columns, linear_index
-from ..grid import grid_shape, intersections, outside, region, visible
+from ..grid import grid_shape, intersections, region, visible
 from ..metadata import ArrayMetadata, key_of
 from ..plans.pruning import Bounds, plan
 from ..sources.cells import install, packed
 from ..stores import LocalStore, Store
-from .chunks import patch_block, patch_cells, read_part, read_whole, store_chunk
+from .chunks import patch_block, patch_cells, read_part, read_whole, store_chunk, trim_chunk
 
 #: Index lists up to this length are broadcast; longer ones join by a shuffle.
 BROADCAST_INDEX = 100_000
@@ -329,9 +329,9 @@ class Array:
         return table.mapInArrow(run, "chunk array<bigint>, n bigint, total double, least double, greatest double")
 
     # -- shape ---------------------------------------------------------------
-    def resize(self, shape) -> None:
+    def resize(self, shape, spark: SparkSession | None = None) -> None:
         """Change the shape: metadata first, then chunks outside go and cells of boundary
-        chunks that fell outside are reset to the fill value."""
+        chunks that fell outside are reset to the fill value; in tasks, if a session is given."""
         shape = tuple(int(n) for n in (shape if isinstance(shape, (list, tuple)) else [shape]))
         if len(shape) != self.ndim or any(n < 0 for n in shape):
             raise ShapeMismatch(f"shape {shape} for rank {self.ndim}")
@@ -341,19 +341,27 @@ class Array:
         shrunk = [d for d in range(self.ndim) if shape[d] < old.shape[d]]
         if not shrunk:
             return
+        touched = [c for _, c in self._stored() if any((c[d] + 1) * self.chunk_shape[d] > shape[d] for d in shrunk)]
+        store, path, meta, keep = self.store, self.path, self.meta, self.write_empty_chunks
+        if spark is None or not store.shared:
+            for coords in touched:
+                trim_chunk(store, path, meta, coords, keep)
+            return
+
+        def run(batches):
+            for batch in batches:
+                for coords in batch.column("c").to_pylist():
+                    trim_chunk(store, path, meta, tuple(coords), keep)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+        rows = spark.createDataFrame([(list(c),) for c in touched], "c array<bigint>")
+        rows.repartition(max(1, min(len(touched), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+    def _stored(self) -> list[tuple[str, tuple[int, ...]]]:
+        """(key below the array, chunk numbers) of the stored chunks."""
         prefix = f"{self.path}/" if self.path else ""
-        for key in self.store.list(self.path):
-            coords = self.meta.chunk_coords(key[len(prefix) :])
-            if coords is None:
-                continue
-            if outside(coords, shape, self.chunk_shape):
-                self.store.erase(key)
-            elif any((coords[d] + 1) * self.chunk_shape[d] > shape[d] for d in shrunk):
-                block = read_whole(self.store, self.path, self.meta, coords)
-                kept = self.meta.dtype.filled(self.chunk_shape, self.meta.fill)
-                seen = tuple(slice(0, n) for n in visible(coords, shape, self.chunk_shape))
-                kept[seen] = block[seen]
-                store_chunk(self.store, self.path, self.meta, coords, kept, self.write_empty_chunks)
+        keys = (k[len(prefix) :] for k in self.store.list(self.path))
+        return [(k, c) for k in keys if (c := self.meta.chunk_coords(k)) is not None]
 
     def _grown(self, extent, dim: int) -> ArrayMetadata:
         if not self.ndim:
@@ -383,12 +391,7 @@ class Array:
     # -- relational helpers --------------------------------------------------
     def chunks_df(self, spark: SparkSession) -> DataFrame:
         """Stored chunks: ``key, chunk, bytes``."""
-        prefix = f"{self.path}/" if self.path else ""
-        rows = []
-        for key in self.store.list(self.path):
-            coords = self.meta.chunk_coords(key[len(prefix) :])
-            if coords is not None:
-                rows.append((key[len(prefix) :], list(coords), len(self.store.get(key))))
+        rows = [(key, list(coords), self.store.size(key_of(self.path, key))) for key, coords in self._stored()]
         return spark.createDataFrame(rows, T.StructType([T.StructField("key", T.StringType()), T.StructField("chunk", T.ArrayType(T.LongType())), T.StructField("bytes", T.LongType())]))
 
     def codec_names(self) -> list[str]:

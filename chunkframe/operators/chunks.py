@@ -9,7 +9,7 @@ import numpy as np
 from ..codecs.base import Bound
 from ..errors import Indexing
 from ..functions.arrow import from_arrow
-from ..grid import Part, visible
+from ..grid import Part, outside, visible
 from ..metadata import ArrayMetadata, key_of
 from ..stores import Store
 
@@ -42,6 +42,19 @@ def store_chunk(store: Store, path: str, meta: ArrayMetadata, coords, block: np.
     return len(data)
 
 
+def trim_chunk(store: Store, path: str, meta: ArrayMetadata, coords, write_empty: bool = False) -> None:
+    """Fit a stored chunk to a shape that shrank: erase it if it is wholly outside, else
+    reset its cells outside to the fill value."""
+    if outside(coords, meta.shape, meta.chunk_shape):
+        store.erase(key_of(path, meta.chunk_key(coords)))
+        return
+    block = read_whole(store, path, meta, coords)
+    kept = meta.dtype.filled(meta.chunk_shape, meta.fill)
+    seen = tuple(slice(0, n) for n in visible(coords, meta.shape, meta.chunk_shape))
+    kept[seen] = block[seen]
+    store_chunk(store, path, meta, coords, kept, write_empty)
+
+
 def patch_block(store, path, meta, part: Part, values: np.ndarray, write_empty: bool = False) -> int:
     """Assign a box of a chunk; a box that covers all visible cells isn't read first."""
     seen = visible(part.coords, meta.shape, meta.chunk_shape)

@@ -219,7 +219,7 @@ def resize_shrink(spark, sf_dir):
 @_query("SELECT event_id AS i0, value FROM events WHERE event_id < 500 UNION ALL SELECT CAST(j AS BIGINT), CAST(-1 AS DOUBLE) FROM range(500, 800) t(j)")
 def resize_grow(spark, sf_dir):
     array = vector(spark, sf_dir, "events", "event_id", "value", chunk=300, fill_value=-1.0)
-    array.resize([500])
+    array.resize([500], spark)
     array.resize([800])
     return array.cells(spark)
 

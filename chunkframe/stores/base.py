@@ -19,6 +19,11 @@ class Store:
     def exists(self, key: str) -> bool:
         return self.get(key) is not None
 
+    def size(self, key: str) -> int | None:
+        """Bytes of a value; None for a missing key."""
+        data = self.get(key)
+        return None if data is None else len(data)
+
     def set(self, key: str, data: bytes) -> None:
         raise StoreError(f"{type(self).__name__} is read-only")
 

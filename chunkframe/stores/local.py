@@ -31,6 +31,12 @@ class LocalStore(Store):
     def exists(self, key):
         return os.path.isfile(self._path(key))
 
+    def size(self, key):
+        try:
+            return os.path.getsize(self._path(key)) if self.exists(key) else None
+        except FileNotFoundError:
+            return None
+
     def get_partial(self, key, offset, length):
         def read(f):
             f.seek(offset)

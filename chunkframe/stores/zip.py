@@ -59,6 +59,10 @@ class ZipStore(Store):
         z = self._open()
         return key in self._entries if z is None else key in z.NameToInfo and not key.endswith("/")
 
+    def size(self, key):
+        z = self._open()
+        return super().size(key) if z is None else z.getinfo(key).file_size if self.exists(key) else None
+
     def set(self, key, data):
         self._writable()
         self._entries[key] = bytes(data)

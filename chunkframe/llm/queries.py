@@ -100,7 +100,7 @@ def op10_url_temporal_lists(spark, sf_dir):
     from .url_lists import judge
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_FETCHED).alias("fetched_at"))
-    entries = spark.createDataFrame(BLOCK_LIST, "domain string, listed_on string, action string")
+    entries = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, BLOCK_LIST))} AS t(domain, listed_on, action)")
     return judge(pages, entries).select("page_id", "host", "listed_domain", "kept")
 
 

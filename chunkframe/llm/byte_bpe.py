@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +25,6 @@ from pyspark.sql import types as T
 
 from ._common import in_small_batches, without
 
-#: Texts are handed to the library in slices of about so many characters, so the
-#: memory of a worker does not depend on how many rows Spark puts into a batch.
-SLICE_CHARS = 400_000
-
 _SPARK_TYPES = {
     "n_tokens": T.LongType(),
     "ids": T.ArrayType(T.IntegerType(), False),
@@ -37,7 +32,6 @@ _SPARK_TYPES = {
     "starts": T.ArrayType(T.IntegerType(), False),
     "ends": T.ArrayType(T.IntegerType(), False),
 }
-_cache: dict[int, object] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,30 +66,83 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
                        "decoder": split, "model": model})
 
 
-def _tokenizer(definition: str):
-    """One tokenizer per Python worker and definition."""
-    key = hash(definition)
-    if key not in _cache:
+class Encoder:
+    """Text to ids by the ``tokenizers`` model: the pattern cuts a text into matches, a
+    match's bytes are mapped to characters and merged.  Short matches are remembered, as
+    most of a text is made of words met before; the memo is bounded."""
+
+    MEMO, MEMO_CHARS = 200_000, 48
+
+    def __init__(self, definition: str, pattern: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        _cache.clear()
-        _cache[key] = Tokenizer.from_str(definition)
-    return _cache[key]
-
-
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= SLICE_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+        self.model = Tokenizer.from_str(definition).model
+        self.matches = regex.compile(pattern).findall
+        chars = byte_alphabet()
+        self.alphabet = dict(enumerate(chars))
+        self.bytes_of = {c: b for b, c in enumerate(chars)}
+        self.known: dict[str, list[int]] = {}
+        self.known_spans: dict[str, list[tuple[int, int, int]]] = {}
+
+    def _tokens(self, match: str):
+        return self.model.tokenize(match.encode().decode("latin-1").translate(self.alphabet))
+
+    def ids(self, text: str) -> list[int]:
+        out: list[int] = []
+        known = self.known
+        get = known.get
+        for match in self.matches(text):
+            found = get(match)
+            if found is None:
+                found = [t.id for t in self._tokens(match)]
+                if len(match) <= self.MEMO_CHARS:
+                    if len(known) >= self.MEMO:
+                        known.clear()
+                    known[match] = found
+            out += found
+        return out
+
+    def _spans(self, match: str) -> list[tuple[int, int, int]]:
+        """(id, first, past the last) of the characters that each token's bytes touch."""
+        at, out = 0, []
+        plain = match.isascii()
+        owner = None if plain else np.repeat(np.arange(len(match)), [len(c.encode()) for c in match])
+        for t in self._tokens(match):
+            end = at + len(t.value)  # one character of the alphabet for each byte
+            out.append((t.id, at, end) if plain else (t.id, int(owner[at]), int(owner[end - 1]) + 1))
+            at = end
+        return out
+
+    def spans(self, text: str) -> np.ndarray:
+        """(n, 3): id, start and end of each token."""
+        out, at, known = [], 0, self.known_spans
+        for match in self.matches(text):
+            found = known.get(match)
+            if found is None:
+                found = self._spans(match)
+                if len(match) <= self.MEMO_CHARS:
+                    if len(known) >= self.MEMO:
+                        known.clear()
+                    known[match] = found
+            out += [(i, a + at, b + at) for i, a, b in found]
+            at += len(match)
+        return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _encoder(definition: str, pattern: str) -> Encoder:
+    """One encoder per Python worker, kept across its tasks."""
+    import sys
+
+    held = sys.__dict__.setdefault("_chunkframe_encoder", {})  # task functions come with globals of their own
+    key = hash((definition, pattern))
+    if key not in held:
+        held.clear()
+        held[key] = Encoder(definition, pattern)
+    return held[key]
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -105,7 +152,11 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
 
 
-def encode(df: DataFrame, ranks_path: str, text_col: str = "text", outputs: tuple[str, ...] = ("ids", "starts", "ends")) -> DataFrame:
+# Fixed value: the pattern of the vocabulary's training, which cuts a text into matches.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def encode(df: DataFrame, ranks_path: str, text_col: str = "text", outputs: tuple[str, ...] = ("ids", "starts", "ends"), pattern: str = PATTERN) -> DataFrame:
     """Add the columns ``outputs`` to ``df``: ``n_tokens``, ``ids``, ``ids_le`` (the
     ids packed as little-endian unsigned 32-bit integers, the form of token shards),
     ``starts`` and ``ends`` (code points of the text that each token touches)."""
@@ -115,18 +166,18 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", outputs: tupl
     with_offsets = bool({"starts", "ends"} & set(outputs))
 
     def run(batches):
-        tok = _tokenizer(definition)
-        call = tok.encode_batch if with_offsets else tok.encode_batch_fast
+        encoder = _encoder(definition, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
             ids, starts, ends = [], [], []
-            for part in _slices(texts):
-                for e in call(part, add_special_tokens=False):
-                    ids.append(np.array(e.ids, np.uint32))
-                    if with_offsets:
-                        at = np.array(e.offsets, np.int32).reshape(-1, 2)
-                        starts.append(at[:, 0])
-                        ends.append(at[:, 1])
+            for text in batch.column(text_col):
+                text = text.as_py() or ""
+                if with_offsets:
+                    found = encoder.spans(text)
+                    ids.append(found[:, 0].astype(np.uint32))
+                    starts.append(found[:, 1])
+                    ends.append(found[:, 2])
+                else:
+                    ids.append(np.array(encoder.ids(text), np.uint32))
             made = {"n_tokens": lambda: pa.array([len(x) for x in ids], pa.int64()),
                     "ids": lambda: _lists(ids), "starts": lambda: _lists(starts), "ends": lambda: _lists(ends),
                     "ids_le": lambda: pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())}

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..codecs import build
 from ..errors import Indexing, ShapeFlattened, ShapeMismatch, StoreError
 from ..functions.cells import chunk_columns, linear_index
-from ..grid import grid_shape, intersections, region, visible
+from ..grid import intersections, region, visible
 from ..metadata import ArrayMetadata, key_of
 from ..plans.pruning import Bounds, plan
 from ..sources.cells import install, packed
@@ -258,12 +258,18 @@ class Array:
         if not self.store.shared:
             raise StoreError("tasks can't write into this store; use write on the driver")
 
-    def _chunk_table(self, spark: SparkSession, start, count) -> DataFrame:
-        """One row per chunk of a region: ``k0..``, made by Spark."""
-        df = spark.range(1)
-        for d, (s, c, k) in enumerate(zip(start, count, self.chunk_shape)):
-            df = df.withColumn(f"k{d}", F.explode(F.sequence(F.lit(s // k), F.lit((s + c - 1) // k).cast("int"))))
-        return df.drop("id").repartition(max(1, min(spark.sparkContext.defaultParallelism * 4, prod(grid_shape(count, self.chunk_shape)) + 1)))
+    def _chunk_table(self, spark: SparkSession, start, count, task_bytes: int = 64 << 20) -> DataFrame:
+        """One row per chunk of a region: ``k0..``.  The numbers follow from a range by
+        arithmetic (last dimension fastest), so there is neither a shuffle nor a list."""
+        first = [s // c for s, c in zip(start, self.chunk_shape)]
+        sizes = [(s + n - 1) // c - f + 1 if n else 0 for s, n, c, f in zip(start, count, self.chunk_shape, first)]
+        total = prod(sizes)
+        tasks = max(1, min(total, max(spark.sparkContext.defaultParallelism, -(-total * self.meta.cell_bytes // task_bytes))))
+        columns, stride = [], total
+        for d, (f, n) in enumerate(zip(first, sizes)):
+            stride //= max(n, 1)
+            columns.append((F.floor(F.col("id") / F.lit(max(stride, 1))) % F.lit(max(n, 1)) + F.lit(f)).cast("bigint").alias(f"k{d}"))
+        return spark.range(0, total, 1, tasks).select(*columns)
 
     def fill(self, spark: SparkSession, value, start=None, count=None) -> int:
         """Assign one value to a region by a task per group of chunks; no cell is made."""
@@ -320,13 +326,12 @@ class Array:
                 for coords in zip(*(c.to_pylist() for c in batch.columns)):
                     part = bounds.part(coords, meta.chunk_shape)
                     block = read_part(store, path, meta, part)
-                    block = (meta.dtype.filled(part.n, meta.fill) if block is None else block).astype(np.float64)
+                    block = (meta.dtype.filled(part.n, meta.fill) if block is None else block).astype(np.float64, copy=False)
                     rows.append((list(map(int, coords)), block.size, float(block.sum()), float(block.min()), float(block.max())))
                 chunk, *numbers = zip(*rows) if rows else ([],) * 5
                 yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.list_(pa.int64())), pa.array(numbers[0], pa.int64()), *(pa.array(c, pa.float64()) for c in numbers[1:])], names=["chunk", "n", "total", "least", "greatest"])
 
-        table = self._chunk_table(spark, start, count) if prod(count) else spark.range(0).select(*(F.lit(0).alias(f"k{d}") for d in range(self.ndim)))
-        return table.mapInArrow(run, "chunk array<bigint>, n bigint, total double, least double, greatest double")
+        return self._chunk_table(spark, start, count).mapInArrow(run, "chunk array<bigint>, n bigint, total double, least double, greatest double")
 
     # -- shape ---------------------------------------------------------------
     def resize(self, shape, spark: SparkSession | None = None) -> None:

@@ -117,13 +117,20 @@ class Shuffle(ByteCodec):
 
 
 def shuffled(data: bytes, size: int) -> bytes:
-    whole = len(data) // size * size
-    return np.frombuffer(data, np.uint8, whole).reshape(-1, size).T.tobytes() + data[whole:]
+    n = len(data) // size
+    if size in (2, 4, 8):  # planes by shifts of whole words: several times faster than a transpose
+        words = np.frombuffer(data, f"<u{size}", n)
+        return b"".join((words >> words.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(size)) + data[n * size :]
+    return np.frombuffer(data, np.uint8, n * size).reshape(-1, size).T.tobytes() + data[n * size :]
 
 
 def unshuffled(data: bytes, size: int) -> bytes:
-    whole = len(data) // size * size
-    return np.frombuffer(data, np.uint8, whole).reshape(size, -1).T.tobytes() + data[whole:]
+    n = len(data) // size
+    planes = np.frombuffer(data, np.uint8, n * size).reshape(size, n)
+    out = np.empty((n, size), np.uint8)
+    for k in range(size):
+        out[:, k] = planes[k]
+    return out.tobytes() + data[n * size :]
 
 
 # -- CRC-32C -----------------------------------------------------------------

@@ -13,6 +13,8 @@ from .base import Bound, Serializer, build, register
 from .pipeline import Pipeline, completed
 
 _MISSING = 2**64 - 1
+#: Bytes that one ranged read may fetch for several inner chunks.
+MERGED = 16 << 20
 
 
 @register
@@ -65,23 +67,39 @@ class Sharding(Serializer):
         index = self.index(data[: self.index_size] if self.location == "start" else data[max(0, len(data) - self.index_size) :])
         return self.gather(index, lambda at, n: data[at : at + n], bound, (0,) * len(bound.shape), bound.shape)
 
-    def gather(self, index, fetch, bound, start, count) -> np.ndarray:
-        """The region (start, count) of the shard; ``fetch(offset, length)`` gets its bytes."""
+    def gather(self, index, fetch, bound, start, count, hit=None) -> np.ndarray:
+        """The region (start, count) of the shard; ``fetch(offset, length)`` gets its bytes.
+        ``hit(d, low, high)`` tells whether a wanted cell is in an interval of a dimension;
+        inner chunks without any stay at the fill value.  Ranges that touch each other
+        are fetched at once, up to ``MERGED`` bytes."""
         out = bound.dtype.filled(count, bound.fill)
+        wanted = []
         for part in intersections(start, count, self.inner):
             at, n = (int(x) for x in index[part.coords])
             if at == _MISSING and n == _MISSING:
                 continue
-            piece = fetch(at, n)
-            if piece is None or len(piece) != n:
+            if hit is None or all(hit(d, k * c + a, k * c + a + m) for d, (k, c, a, m) in enumerate(zip(part.coords, self.inner, part.lo, part.n))):
+                wanted.append((at, n, part))
+        wanted.sort(key=lambda x: x[0])
+        first = 0
+        while first < len(wanted):
+            last, begin = first + 1, wanted[first][0]
+            end = begin + wanted[first][1]
+            while last < len(wanted) and wanted[last][0] == end and end + wanted[last][1] - begin <= MERGED:
+                end += wanted[last][1]
+                last += 1
+            data = fetch(begin, end - begin)
+            if data is None or len(data) != end - begin:
                 raise CodecError("a shard ends within an inner chunk")
-            out[part.in_out] = self.pipeline.decode(piece)[part.in_chunk]
+            for at, n, part in wanted[first:last]:
+                out[part.in_out] = self.pipeline.decode(data[at - begin : at - begin + n])[part.in_chunk]
+            first = last
         return out
 
-    def read(self, get_partial, get_suffix, bound, start, count) -> np.ndarray | None:
-        """A region by byte ranges: the index first, then each inner chunk that is met.
+    def read(self, get_partial, get_suffix, bound, start, count, hit=None) -> np.ndarray | None:
+        """A region by byte ranges: the index first, then the inner chunks that are met.
         None if the shard doesn't exist."""
         head = get_partial(0, self.index_size) if self.location == "start" else get_suffix(self.index_size)
         if head is None:
             return None
-        return self.gather(self.index(head), get_partial, bound, start, count)
+        return self.gather(self.index(head), get_partial, bound, start, count, hit)

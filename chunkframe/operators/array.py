@@ -164,7 +164,7 @@ class Array:
         for chunks in plan(bounds, self.chunk_shape, self.meta.cell_bytes, 1):
             for coords in chunks:
                 part = bounds.part(coords, self.chunk_shape)
-                block = read_part(self.store, self.path, self.meta, part)
+                block = read_part(self.store, self.path, self.meta, part, bounds.hit)
                 if block is not None:
                     box[tuple(slice(o - a, o - a + n) for o, a, n in zip(part.out, bounds.low, part.n))] = block
         return box[np.ix_(*([i - a for i in p] for p, a in zip(picked, bounds.low)))] if self.ndim else box

@@ -14,13 +14,17 @@ from ..metadata import ArrayMetadata, key_of
 from ..stores import Store
 
 
-def read_part(store: Store, path: str, meta: ArrayMetadata, part: Part) -> np.ndarray | None:
-    """A part of a chunk, by byte ranges where the chunk is a shard; None: not stored."""
+def read_part(store: Store, path: str, meta: ArrayMetadata, part: Part, hit=None) -> np.ndarray | None:
+    """A part of a chunk, by byte ranges where the chunk is a shard; None: not stored.
+    ``hit(d, low, high)``: whether a cell of that interval is wanted (in array coordinates);
+    inner chunks without wanted cells may be left at the fill value."""
     key = key_of(path, meta.chunk_key(part.coords))
     shard = meta.pipeline.sole_sharding
-    if shard is not None and part.n != meta.chunk_shape:
+    if shard is not None and (hit is not None or part.n != meta.chunk_shape):
+        origin = [k * c for k, c in zip(part.coords, meta.chunk_shape)]
+        local = (lambda d, a, b: hit(d, origin[d] + a, origin[d] + b)) if hit else None
         bound = Bound(meta.dtype, meta.chunk_shape, meta.fill)
-        return shard.read(lambda at, n: store.get_partial(key, at, n), lambda n: store.get_suffix(key, n), bound, part.lo, part.n)
+        return shard.read(lambda at, n: store.get_partial(key, at, n), lambda n: store.get_suffix(key, n), bound, part.lo, part.n, local)
     data = store.get(key)
     return None if data is None else meta.pipeline.decode(data)[part.in_chunk]
 

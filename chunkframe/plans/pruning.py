@@ -52,6 +52,13 @@ class Bounds:
         v = self.values[d]
         return v[bisect_left(v, max(low, self.low[d])) : bisect_right(v, min(high, self.high[d]) - 1)]
 
+    @property
+    def hit(self):
+        """Whether an interval of a dimension holds a wanted cell; None if all do."""
+        if all(v is None for v in self.values):
+            return None
+        return lambda d, low, high: self.values[d] is None or bool(self.wanted(d, low, high))
+
     def part(self, coords, chunk_shape) -> Part:
         """The share of one chunk."""
         low = [max(a, k * c) for a, k, c in zip(self.low, coords, chunk_shape)]

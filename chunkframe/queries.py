@@ -22,7 +22,7 @@ from . import catalog
 from .functions.cells import chunk_columns, chunk_coords, chunk_key, saturating_cast
 from .functions.session import shared_folder
 from .operators.array import Array
-from .stores import LocalStore, ManifestStore, ZipStore
+from .stores import LocalStore, ManifestStore, Store, ZipStore, resolve
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -42,9 +42,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _store(spark: SparkSession) -> LocalStore:
-    path = shared_folder(spark, "store")
-    return LocalStore("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
+def _store(spark: SparkSession) -> Store:
+    return resolve(shared_folder(spark, "store"))
 
 
 def _length(df: DataFrame, key: str) -> int:

@@ -118,7 +118,7 @@ class CellReader(DataSourceReader):
     def read(self, partition):
         for coords in partition.chunks:
             part = self.bounds.part(coords, self.meta.chunk_shape)
-            block = read_part(self.store, self.path, self.meta, part)
+            block = read_part(self.store, self.path, self.meta, part, self.bounds.hit)
             if block is None:
                 if not self.emit_fill:
                     continue

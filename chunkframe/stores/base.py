@@ -63,7 +63,8 @@ def opens(kind: str):
 
 
 def resolve(store) -> Store:
-    """A store from a store or a path (``file:`` addresses are paths, http ones HttpStore)."""
+    """A store from a store or a path (``file:`` addresses are paths, http ones HttpStore,
+    other schemes go through Arrow's file systems)."""
     if isinstance(store, Store):
         return store
     if isinstance(store, os.PathLike):
@@ -73,6 +74,8 @@ def resolve(store) -> Store:
             return _openers["http"](store)
         if store.startswith("file:"):
             store = "/" + store[5:].lstrip("/")
+        if "://" in store:
+            return _openers["arrow"](store)
         return _openers["zip" if store.endswith(".zip") else "local"](store)
     raise InvalidStore(f"no store: {store!r}")
 

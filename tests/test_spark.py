@@ -55,6 +55,18 @@ def test_pushdown_prunes_chunks(store):
     assert a.shape == (100, 100)
 
 
+def test_scan_touches_only_hit_chunks(spark, store):
+    """All other chunks are broken, and nobody notices."""
+    a = cf.create(store, (100,), chunk_shape=10, codecs=[{"name": "gzip"}])
+    a.write(np.arange(100.0))
+    for k in (0, 1, 4, 5, 6, 7, 8, 9):
+        store.set(f"c/{k}", b"broken")
+    assert a.cells(spark).where("i0 >= 20 and i0 < 40").agg(F.sum("value")).first()[0] == sum(range(20, 40))
+    assert a.cells(spark).where("i0 in (25, 31)").count() == 2 and a.select(spark, [39, 20]).count() == 2
+    with pytest.raises(Exception, match="gzip"):
+        a.cells(spark).count()
+
+
 def test_plan_shows_one_scan_without_shuffle(spark, store):
     a = cf.create(store, (100,), chunk_shape=10)
     plan = a.cells(spark).where("i0 < 5")._jdf.queryExecution().executedPlan().toString()

@@ -61,6 +61,8 @@ def trim_chunk(store: Store, path: str, meta: ArrayMetadata, coords, write_empty
 
 def patch_block(store, path, meta, part: Part, values: np.ndarray, write_empty: bool = False) -> int:
     """Assign a box of a chunk; a box that covers all visible cells isn't read first."""
+    if part.n == meta.chunk_shape and meta.shape:
+        return store_chunk(store, path, meta, part.coords, values, write_empty)
     seen = visible(part.coords, meta.shape, meta.chunk_shape)
     whole = all(n >= s for n, s in zip(part.n, seen))
     block = meta.dtype.filled(meta.chunk_shape, meta.fill) if whole else read_whole(store, path, meta, part.coords)

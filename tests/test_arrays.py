@@ -202,6 +202,18 @@ def test_elision(store):
     assert np.signbit(z.read()).tolist() == [True, False]
 
 
+@pytest.mark.parametrize("shape", [(9000,), (1, 1, 9000), (3, 5000), (5000, 3)])
+def test_elision_of_large_chunks(store, shape):
+    """A first look at a part must not decide that a block is empty."""
+    a = cf.create(store, shape, "int16", path="a")
+    x = np.zeros(shape, "int16")
+    a.write(x)
+    assert not store.exists(a.meta.chunk_key((0,) * len(shape)).join(["a/", ""]))
+    x[(-1,) * len(shape)] = 7
+    a.write(x)
+    assert (cf.open(store, "a").read() == x).all()
+
+
 def test_resize_and_append(store):
     a = cf.create(store, (4, 4), path="a", chunk_shape=(2, 2))
     x = np.arange(1.0, 17).reshape(4, 4)

@@ -208,7 +208,7 @@ def test_elision_of_large_chunks(store, shape):
     a = cf.create(store, shape, "int16", path="a")
     x = np.zeros(shape, "int16")
     a.write(x)
-    assert not store.exists(a.meta.chunk_key((0,) * len(shape)).join(["a/", ""]))
+    assert not store.exists("a/" + a.meta.chunk_key((0,) * len(shape)))
     x[(-1,) * len(shape)] = 7
     a.write(x)
     assert (cf.open(store, "a").read() == x).all()

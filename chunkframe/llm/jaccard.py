@@ -1,0 +1,235 @@
+"""Near-duplicates by Jaccard similarity of word shingles, no pair missed.
+
+A link joins two texts whose sets of shingles (five lower-cased words) have a Jaccard
+similarity of at least ``least``.  Candidates come from prefixes: with all sets in one
+order of tokens, two linked sets share a token among the first ``n - ceil(least * n) + 1``
+of each.  Any order is right; tokens that are frequent in a sample go last, so buckets
+stay small.  Before that, equal sets are one, and min-hash buckets link every set to the
+bucket's least one where the exact check agrees: large groups are then one component,
+inside of which no pair is tried.  Every link is checked on the texts themselves.
+
+Defined results: null and empty texts have no shingles and are copies of each other; a
+text of fewer words than a shingle is one shingle; null ids take part with their text;
+repeated rows stay one; empty tables give empty tables.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._common import in_small_batches, scratch_name, written
+from .components import components
+from .simhash import SEED
+
+SAMPLE_TEXTS, SAMPLE_LEAST = 8192, 3
+_MINS, _PER_KEY = 8, 3  # min-hash keys of a text, minima in each
+_PAIRS_AT_ONCE = 1 << 22
+_ODD = np.random.default_rng(SEED).integers(1, 1 << 63, _MINS * _PER_KEY, np.uint64) | np.uint64(1)
+_LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the shingles of lower-cased words."""
+    import xxhash
+
+    found = (text or b"").lower().split()  # A-Z only, and the ASCII separators
+    n = len(found)
+    if n <= size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)] if n else [], np.uint64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, n)
+    h = np.zeros(n - size + 1, np.uint64)
+    for j in range(size):
+        h = _mixed(h + w[j : n - size + 1 + j])
+    return np.unique(h)
+
+
+def _bytes(column):
+    return (t.as_py() for t in column.cast(pa.binary()))
+
+
+def _common_tokens(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that several texts of a bounded sample hold, with their counts."""
+    share = max(1, texts.count() // SAMPLE_TEXTS)
+
+    def run(batches):
+        for batch in batches:
+            for t in _bytes(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, size).view(np.int64))], ["token"])
+
+    drawn = texts.where(F.pmod("key", F.lit(share)) == 0).dropDuplicates(["key"]).select("text")
+    counted = in_small_batches(drawn).mapInArrow(run, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_LEAST)
+    got = counted.orderBy(F.desc("n"), "token").limit(500_000).toArrow()
+    token, n = (got.column(c).to_numpy() for c in ("token", "n"))
+    order = np.argsort(token.view(np.uint64))
+    return token.view(np.uint64)[order], n[order]
+
+
+def _marked(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """``doc_id, key, fp, n, mins, prefix``; equal sets have equal ``fp``."""
+    import xxhash
+
+    common = texts.sparkSession.sparkContext.broadcast(_common_tokens(texts, size))
+
+    def run(batches):
+        tokens, counts = common.value
+        for batch in batches:
+            fps, ns, mins, prefixes = [], [], [], []
+            for text in _bytes(batch.column("text")):
+                s = shingles(text, size)
+                n = len(s)
+                fps.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) if n else 0)
+                ns.append(n)
+                if n:
+                    low = np.array([_mixed(s * odd).min() for odd in _ODD]).reshape(_MINS, _PER_KEY)
+                    k = np.arange(_MINS, dtype=np.uint64)
+                    for column in low.T:
+                        k = _mixed(k + column)
+                    mins.append(k.view(np.int64))
+                    at = np.searchsorted(tokens, s)
+                    known = at < len(tokens)
+                    known[known] = tokens[at[known]] == s[known]
+                    count = np.zeros(n, np.int64)
+                    count[known] = counts[at[known]]
+                    first = np.argsort(count, kind="stable")[: n - math.ceil(least * n - 1e-9) + 1]
+                    prefixes.append(s[first].view(np.int64))
+                else:
+                    mins.append([])
+                    prefixes.append([])
+            longs = pa.list_(pa.int64())
+            more = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.array(mins, longs), pa.array(prefixes, longs)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *more], ["doc_id", "key", "fp", "n", "mins", "prefix"])
+
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([texts.schema["doc_id"], texts.schema["key"], T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("mins", longs), T.StructField("prefix", longs)])
+    return written(in_small_batches(texts).mapInArrow(run, schema), "shingled")
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, keys: DataFrame, size: int, least: float) -> DataFrame:
+    """The ``pairs(a, b)`` of fingerprints whose texts are similar enough."""
+    pairs = written(pairs.distinct(), "candidates")
+    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(keys, "fp")
+    met = written(texts.select("key", "text").join(asked, "key").groupBy("fp").agg(F.first("text").alias("text")), "candidate-texts")
+    both = pairs.join(met.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(met.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+            keep, held = np.zeros(len(a), bool), {}
+
+            def of(fp, text):
+                if fp not in held:
+                    if len(held) > 500:
+                        held.clear()
+                    held[fp] = shingles(text, size)
+                return held[fp]
+
+            for i, (ta, tb) in enumerate(zip(_bytes(batch.column("ta")), _bytes(batch.column("tb")))):
+                x, y = of(a[i], ta), of(b[i], tb)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = same >= least * (len(x) + len(y) - same) - 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    return written(in_small_batches(both).mapInArrow(run, _LINKS), "links")
+
+
+def _star_pairs(sets: DataFrame) -> DataFrame:
+    keyed = written(sets.select("fp", F.explode("mins").alias("k")).distinct(), "min-hashes")
+    heads = keyed.groupBy(F.col("k").alias("h")).agg(F.min("fp").alias("b"), F.count("*").alias("m")).where("m > 1")
+    return keyed.join(heads, F.col("k") == F.col("h")).where("fp != b").select(F.col("fp").alias("a"), "b")
+
+
+def bucket_pairs(fp: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray, least: float):
+    """Pairs in one bucket that may be similar and are not of one component: their sizes
+    and what is left behind their shared token allow the overlap."""
+    size = len(fp)
+    step = max(1, _PAIRS_AT_ONCE // size)
+    for lo in range(0, size, step):
+        i = np.arange(lo, min(lo + step, size))[:, None]
+        j = np.arange(size)[None, :]
+        left = np.minimum(n[i] - at[i], n[j] - at[j])
+        ok = (i < j) & (root[i] != root[j]) & (left * (1 + least) >= least * (n[i] + n[j]) - 1e-6)
+        x, y = np.nonzero(ok)
+        yield np.minimum(fp[x + lo], fp[y]), np.maximum(fp[x + lo], fp[y])
+
+
+def _prefix_pairs(sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    rooted = sets.select("fp", "n", "prefix").join(roots.select(F.col("node"), "root"), F.col("fp") == F.col("node"), "left")
+    dealt = rooted.select("fp", F.coalesce("root", "fp").alias("root"), "n", F.posexplode("prefix").alias("at", "token"))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "token").sortWithinPartitions("token")
+    names = ("token", "fp", "root", "n", "at")
+
+    def run(batches):
+        def solve(cols):
+            token, fp, root, n, at = cols
+            cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+            mixed = np.concatenate(([False], root[1:] != root[:-1])) & np.concatenate(([False], token[1:] == token[:-1]))
+            some = np.unique(np.searchsorted(cuts, np.flatnonzero(mixed), "right") - 1)
+            for k in some:
+                one = slice(cuts[k], cuts[k + 1])
+                yield from bucket_pairs(fp[one], root[one], n[one].astype(np.int64), at[one].astype(np.int64), least)
+
+        def out(cols):
+            got, rows = [], 0
+            for a, b in solve(cols):
+                got.append(np.stack((a, b)))
+                rows += len(a)
+                if rows > 1_000_000:
+                    yield batch_of(got)
+                    got, rows = [], 0
+            if rows:
+                yield batch_of(got)
+
+        def batch_of(got):
+            a, b = np.unique(np.concatenate(got, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(c).to_numpy() for c in names])
+                rows += batch.num_rows
+            if rows >= 1 << 18:
+                cols = [np.concatenate(c) for c in zip(*held)]
+                end = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on
+                held, rows = [[c[end:] for c in cols]], len(cols[0]) - end
+                if end:
+                    yield from out([c[:end] for c in cols])
+        if rows:
+            yield from out([np.concatenate(c) for c in zip(*held)])
+
+    return dealt.mapInArrow(run, _LINKS)
+
+
+def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``df`` that stay, columns unchanged: of each component the row with
+    its least id, once.  A component without any id keeps one of its rows."""
+    key_of = F.xxhash64(F.coalesce(df[text_col], F.lit("")))
+    texts = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"), key_of.alias("key"))
+    marked = _marked(texts, size, least)
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key")), "classes")
+    keys = classes.select("fp", "key")
+    sets = marked.join(keys, ["fp", "key"], "left_semi").dropDuplicates(["fp"])
+    near = _checked(_star_pairs(marked), texts, keys, size, least)
+    far = _checked(_prefix_pairs(sets, written(components(near), "near-roots"), least), texts, keys, size, least)
+    roots = components(near.unionByName(far))
+    rooted = written(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "roots")
+    named = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "component-ids")
+    kept_id, key, root = (scratch_name(df, x) for x in ("kept", "key", "root"))
+    stay = named.where("component_id is not null").select(F.col("component_id").alias(kept_id))
+    kept = df.join(stay, df[id_col] == F.col(kept_id), "left_semi").dropDuplicates([id_col])
+    orphan = marked.where("doc_id is null").select("key", "fp").distinct().join(rooted, "fp").join(named.where("component_id is null"), "root")
+    orphan = orphan.select(F.col("key").alias(key), F.col("root").alias(root))
+    nameless = df.where(df[id_col].isNull()).join(orphan, key_of == F.col(key)).dropDuplicates([root]).select(*df.columns)
+    return kept.unionByName(nameless)

@@ -1,0 +1,55 @@
+"""Near-duplicates of the pipeline against all pairs in plain Python."""
+
+import random
+
+import numpy as np
+from chunkframe.llm import jaccard
+
+
+def plain(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return {find(i) for i in range(len(texts))}
+
+
+def test_edited_copies_go(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = ["", None, "one two", "One  two", "one two three four five", "one two three four five six"]
+    line = [rng.choice(words) for _ in range(40)]
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice((20, 60, 300)))] + line * rng.choice((0, 1))
+        for edits in (0, 0, 1, 2, 4, 6, 8):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in jaccard.dedupe(df).collect()} == plain(texts)
+
+
+def test_rows_without_id_and_no_rows(spark, edge):
+    kept = jaccard.dedupe(edge)
+    assert kept.columns == edge.columns and kept.where("doc_id is null").count() == 1
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [0, 1, 3, 8, 9, 10]
+    assert jaccard.dedupe(edge.limit(0)).count() == 0
+
+
+def test_bucket_pairs_skip_only_what_cannot_link():
+    fp, n = np.arange(4), np.array([10, 10, 13, 10])
+    got = {p for a, b in jaccard.bucket_pairs(fp, np.array([0, 1, 2, 0]), n, np.zeros(4, int), 0.8) for p in zip(a.tolist(), b.tolist())}
+    assert got == {(0, 1), (1, 3)}

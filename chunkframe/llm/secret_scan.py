@@ -42,6 +42,13 @@ CANDIDATES = {
     "mixed": (r"[A-Za-z0-9+/_-]{32,}", ("[A-Z]", "[a-z]", "[0-9]")),
 }
 KINDS = [*BASE, *CANDIDATES]
+# A key block is matched whole: to its end line, or as far as lines of key characters go.
+_KEY_END = r"-----END [A-Z ]{0,20}PRIVATE KEY-----"
+_KEY_BODY = r"""(?:(?:\\[nr]|[\s"'+,]){1,12}[A-Za-z0-9+/]{16,}={0,2}){1,400}(?:(?:\\[nr]|[\s"'+,]){1,12}[A-Za-z0-9+/]{1,15}={1,2})?"""
+KEYBLOCK = rf"""{CANDIDATES["keyblock"][0]}(?:[A-Za-z0-9+/=\s\\:,."'-]*?{_KEY_END}|{_KEY_BODY})?"""
+_NO_KEY = rf"-----(?:BEGIN|END) [A-Z ]{{0,20}}PRIVATE KEY-----|\\[nr]|[^A-Za-z0-9+/=]"
+#: What the scan matches; ``CANDIDATES`` states the header alone, as the SQL does.
+MATCHED = {**CANDIDATES, "keyblock": (KEYBLOCK, ())}
 #: Texts without any of these can hold no candidate.
 _HINT = r"gh[pousr]_|xox[abprs]-|sk_(?:live|test)_|AIza|glpat-|eyJ|PRIVATE KEY|://|[A-Za-z0-9+/_-]{32}"
 
@@ -82,13 +89,18 @@ def base_spans(text: Column) -> Column:
 
 
 def candidate_spans(text: Column) -> Column:
-    found = F.concat(*(spans_of(text, p, len(BASE) + k, 0, must) for k, (p, must) in enumerate(CANDIDATES.values())))
+    found = F.concat(*(spans_of(text, p, len(BASE) + k, 0, must) for k, (p, must) in enumerate(MATCHED.values())))
     return F.when(text.rlike(_HINT), found).otherwise(F.array().cast(_NO_SPANS))
 
 
 def _credential(s: Column) -> Column:
-    """What is compared over the corpus: of an assignment the value alone."""
-    return F.when(s["kind"] == 0, F.regexp_extract(s["value"], ASSIGN, 1)).otherwise(s["value"])
+    """What is compared over the corpus: of an assignment the value alone, of a key block
+    its body (a header without one stands for itself)."""
+    return F.when(s["kind"] == 0, F.regexp_extract(s["value"], ASSIGN, 1)).when(s["kind"] == KINDS.index("keyblock"), _key(s["value"])).otherwise(s["value"])
+
+
+def _key(block: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_replace(block, _NO_KEY, ""), F.lit("")), block)
 
 
 def joined(spans: Column) -> Column:
@@ -101,35 +113,43 @@ def _overlaps(base: Column, s: Column) -> Column:
     return F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
 
-def ownership(seen: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
+def ownership(seen: DataFrame, max_owners: int, max_repositories: int | None) -> DataFrame:
     """``seen(hash, owner, repository)`` -> ``(h, live)`` per distinct value: live with at
-    most so many distinct owners and repositories.  One row per (value, owner,
+    most so many distinct owners and repositories (None: owners alone count).  One row per (value, owner,
     repository), then per (value, owner): a value that is everywhere is reduced before
     it meets in one place."""
     owned = seen.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("x")).groupBy("hash", "owner").agg(F.count("*").alias("n"))
     found = owned.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
-    return written(found.select(F.col("hash").alias("h"), ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live")), "ownership")
+    few = F.lit(True) if max_repositories is None else F.col("repositories") <= max_repositories
+    return written(found.select(F.col("hash").alias("h"), ((F.col("owners") <= max_owners) & few).alias("live")), "ownership")
+
+
+def _repository(df: DataFrame, column: str | None, limit: int) -> tuple[Column, int | None]:
+    return (df[column].cast("string"), limit) if column else (F.lit(None).cast("string"), None)
+
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id",
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = "doc_id",
          max_owners: int = 2, max_repositories: int = 50) -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans,
     n_live, n_example`` and ``all_spans`` (array of struct(start, kind, end)).
 
     ``owner_col`` names who owns a row and ``repository_col`` its repository.  A
-    candidate is live with at most ``max_owners`` distinct owners and at most
-    ``max_repositories`` distinct repositories.  ``n_live`` and ``n_example`` count all
+    candidate is live with at most ``max_owners`` distinct owners and, where
+    repositories are named, at most ``max_repositories`` distinct ones: the documents of
+    one owner are no repositories.  ``n_live`` and ``n_example`` count all
     candidates, base ones included; live ones of the further kinds add spans, unless they
     overlap a base span."""
     text = F.coalesce(df[text_col], F.lit(""))
-    slim = df.select(df[id_col].alias("doc_id"), df[owner_col].cast("string").alias("owner"), df[repository_col].cast("string").alias("repository"), text.alias("text"))
+    repository, limit = _repository(df, repository_col, max_repositories)
+    slim = df.select(df[id_col].alias("doc_id"), df[owner_col].cast("string").alias("owner"), repository.alias("repository"), text.alias("text"))
     found = slim.select("doc_id", "owner", "repository", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("more"))
     more = F.concat("base", F.filter("more", lambda s: ~_overlaps(F.col("base"), s)))
     hashed = F.transform(more, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(_credential(s), 256).alias("hash")))
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     rows = written(found.select("doc_id", "owner", "repository", plain.alias("base"), hashed.alias("more"), F.monotonically_increasing_id().alias("row")), "scanned")
     seen = rows.where(F.size("more") > 0).select("row", "owner", "repository", F.explode("more").alias("s")).select("row", "owner", "repository", "s.*")
-    live = ownership(seen, max_owners, max_repositories)
+    live = ownership(seen, max_owners, limit)
     judged = seen.join(live, F.col("hash") == F.col("h"))
     added = judged.groupBy("row").agg(
         F.collect_list(F.when(F.col("live") & (F.col("kind") >= len(BASE)), F.struct("start", "kind", "end"))).alias("live_spans"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example")
@@ -152,19 +172,20 @@ def _replaced(text: Column, pattern: str, secret, mask: str) -> Column:
     return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pieces)).otherwise(text)
 
 
-def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id",
+def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str | None = "doc_id",
            max_owners: int = 2, max_repositories: int = 50, mask: str = "[SECRET]") -> DataFrame:
     """``df`` with every base span and every live candidate replaced by ``mask``; all rows
     and columns stay, a null text stays null.  Only rows with candidates are shuffled."""
     key, live_col, more_col = (scratch_name(df, x) for x in ("text_hash", "live", "more"))
     text = F.coalesce(df[text_col], F.lit(""))
+    repository, limit = _repository(df, repository_col, max_repositories)
     base = base_spans(text)
-    more = let(F.array(candidate_spans(text)), lambda x: F.transform(F.filter(x[0], lambda s: ~_overlaps(base, s)), lambda s: F.sha2(s["value"], 256)))
+    more = let(F.array(candidate_spans(text)), lambda x: F.transform(F.filter(x[0], lambda s: ~_overlaps(base, s)), lambda s: F.sha2(_credential(s), 256)))
     hashed = df.withColumn(more_col, F.when(text.rlike(_HINT), more).otherwise(F.array().cast("array<string>")))
     some = hashed.where(F.size(more_col) > 0)
-    seen = some.select(df[owner_col].cast("string").alias("owner"), df[repository_col].cast("string").alias("repository"), F.sha2(text, 256).alias("key"), F.explode(F.array_distinct(more_col)).alias("hash"))
+    seen = some.select(df[owner_col].cast("string").alias("owner"), repository.alias("repository"), F.sha2(text, 256).alias("key"), F.explode(F.array_distinct(more_col)).alias("hash"))
     seen = written(seen, "candidates")
-    live = ownership(seen.drop("key"), max_owners, max_repositories)
+    live = ownership(seen.drop("key"), max_owners, limit)
     by_text = seen.select("key", "hash").distinct().join(live.where("live"), F.col("hash") == F.col("h"))
     by_text = written(by_text.groupBy(F.col("key").alias(key)).agg(F.collect_set("hash").alias(live_col)), "live-by-text")
 
@@ -178,8 +199,8 @@ def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", rep
         for pattern, least in BASE.values():
             t = masked(t, pattern, long_enough(pattern, least))
         if lives is not None:
-            for pattern, _ in CANDIDATES.values():
-                t = masked(t, pattern, lambda m: F.array_contains(lives, F.sha2(m, 256)))
+            for kind, (pattern, _) in MATCHED.items():
+                t = masked(t, pattern, lambda m: F.array_contains(lives, F.sha2(_key(m) if kind == "keyblock" else m, 256)))
         return t
 
     quiet = hashed.where(F.size(more_col) == 0).withColumn(text_col, clean(F.col(text_col), None)).select(*df.columns)

@@ -129,7 +129,7 @@ def _repository(df: DataFrame, column: str | None, limit: int) -> tuple[Column,
 
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = "doc_id",
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None,
          max_owners: int = 2, max_repositories: int = 50) -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans,
     n_live, n_example`` and ``all_spans`` (array of struct(start, kind, end)).
@@ -172,7 +172,7 @@ def _replaced(text: Column, pattern: str, secret, mask: str) -> Column:
     return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pieces)).otherwise(text)
 
 
-def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str | None = "doc_id",
+def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str | None = None,
            max_owners: int = 2, max_repositories: int = 50, mask: str = "[SECRET]") -> DataFrame:
     """``df`` with every base span and every live candidate replaced by ``mask``; all rows
     and columns stay, a null text stays null.  Only rows with candidates are shuffled."""

@@ -26,3 +26,11 @@ def test_every_key_is_owned_by_itself(spark):
         assert clean[i] == "before [SECRET] after, plain words."
     assert not any(s.startswith("keyblock") for i in range(4) for s in got[10 + i])
     assert all(clean[10 + i] == texts[4 + i][1] for i in range(4))
+
+
+def test_one_owner_with_many_documents(spark):
+    value = "Ab3" + "xYz09Q" * 6
+    df = spark.createDataFrame([(i, f"number {i} {value}", "one") for i in range(60)], "doc_id bigint, text string, source string")
+    assert {r["n_live"] for r in secret_scan.scan(df).collect()} == {1}
+    assert all(value not in r["text"] for r in secret_scan.redact(df).collect())
+    assert {r["n_example"] for r in secret_scan.scan(df, repository_col="doc_id").collect()} == {1}

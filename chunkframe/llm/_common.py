@@ -38,16 +38,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Texts that go to a Python worker at once; a batch of long ones must fit its memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch that Python code works on at once.
+PART_ROWS, PART_BYTES = 1000, 8 << 20
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """Hold the session to Arrow batches of at most ``BATCH_ROWS`` rows."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
+def in_parts(batches):
+    """The Arrow ``batches`` of a task (Spark bounds them by bytes) in zero-copy slices of at
+    most ``PART_ROWS`` rows and about ``PART_BYTES``, one row at least."""
+    for batch in batches:
+        step = max(1, min(PART_ROWS, batch.num_rows * PART_BYTES // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+#: Rows (of a few longs each) up to which a table is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for a broadcast if it has at most so
+    many rows; a larger one is left to a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def fold(doc_id="doc_id", folds: int = 3):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import in_small_batches, without
+from ._common import in_parts, without
 
 _SPARK_TYPES = {
     "n_tokens": T.LongType(),
@@ -167,7 +167,7 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", outputs: tupl
 
     def run(batches):
         encoder = _encoder(definition, pattern)
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, starts, ends = [], [], []
             for text in batch.column(text_col):
                 text = text.as_py() or ""
@@ -183,7 +183,7 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", outputs: tupl
                     "ids_le": lambda: pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())}
             yield pa.RecordBatch.from_arrays([*batch.columns, *(made[c]() for c in outputs)], [*batch.schema.names, *outputs])
 
-    return in_small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids_le", output: str = "decoded") -> DataFrame:
@@ -198,7 +198,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids_le", output: str
 
     def run(batches):
         look = names.__getitem__
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = batch.column(ids_col)
             out = []
             for k in range(len(rows)):
@@ -211,7 +211,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids_le", output: str
                     out.append(b"".join(map(look, row.as_py())))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, output])
 
-    return in_small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.BinaryType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.BinaryType())]))
 
 
 def text_of(decoded: bytes) -> str:

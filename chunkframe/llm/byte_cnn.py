@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import in_small_batches, without
+from ._common import in_parts, without
 
 CHUNK, OVERLAP = 1024, 64
 BLOCK, TAPS = 4, 4  # a filter sees TAPS blocks of BLOCK bytes and moves by one block
@@ -153,8 +153,8 @@ def score(df: DataFrame, model: ByteCNN, text_col: str = "text", output: str = "
     df = without(df, output, keep=(text_col,))
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(texts), pa.float64())], [*batch.schema.names, output])
 
-    return in_small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.DoubleType())]))

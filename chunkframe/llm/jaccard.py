@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import in_small_batches, scratch_name, written
+from ._common import in_parts, scratch_name, written
 from .components import components
 from .simhash import SEED
 
@@ -68,7 +68,7 @@ def _common_tokens(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t, size).view(np.int64))], ["token"])
 
     drawn = texts.where(F.pmod("key", F.lit(share)) == 0).dropDuplicates(["key"]).select("text")
-    counted = in_small_batches(drawn).mapInArrow(run, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_LEAST)
+    counted = in_parts(drawn).mapInArrow(run, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_LEAST)
     got = counted.orderBy(F.desc("n"), "token").limit(500_000).toArrow()
     token, n = (got.column(c).to_numpy() for c in ("token", "n"))
     order = np.argsort(token.view(np.uint64))
@@ -112,7 +112,7 @@ def _marked(texts: DataFrame, size: int, least: float) -> DataFrame:
 
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([texts.schema["doc_id"], texts.schema["key"], T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("mins", longs), T.StructField("prefix", longs)])
-    return written(in_small_batches(texts).mapInArrow(run, schema), "shingled")
+    return written(in_parts(texts).mapInArrow(run, schema), "shingled")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, keys: DataFrame, size: int, least: float) -> DataFrame:
@@ -140,7 +140,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, keys: DataFrame, size: int, lea
                 keep[i] = same >= least * (len(x) + len(y) - same) - 1e-9
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    return written(in_small_batches(both).mapInArrow(run, _LINKS), "links")
+    return written(in_parts(both).mapInArrow(run, _LINKS), "links")
 
 
 def _star_pairs(sets: DataFrame) -> DataFrame:

@@ -1,14 +1,11 @@
 """SimHash near-duplicates: fingerprints of word shingles linked by BK-trees.
 
 A link joins two texts whose 64-bit fingerprints differ in at most ``radius`` bits.
-The distinct fingerprints are dealt by pigeonhole: of ``radius + 2`` bands two
-linked fingerprints share at least two, so each pair of bands is a bucket key.  In
-a bucket the fingerprints of a shard form a BK-tree (children keyed by the integer
-Hamming distance to their parent); probes follow only edges within the radius.
-A bucket of more than ``shard_rows`` fingerprints becomes several shard trees, and
-every tree is sent to all probe blocks of its bucket: through a join, because a
-cluster-wide broadcast of all trees would grow with the data.  A task emits the
-spanning forest of its links and not every pair.
+Fingerprints within the radius are equal in one of ``radius + 1`` bands, so every
+distinct fingerprint goes, for each band, into the shard tree of that band's bucket and
+probes that tree; a bucket's tree holds the fingerprints of many band values, and the
+walk alone decides what is linked.  A task emits the spanning forest of its links and
+not every pair.
 
 Defined results: a null or empty text has no words and fingerprint zero, which is
 linked like any other; null ids take part with their text, and a component's id is
@@ -18,19 +15,18 @@ give empty tables.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import in_small_batches, scratch_name, written
+from ._common import in_parts, written
+from .bktree import SHARD_ROWS, shards, spanning, walk
 from .components import components
+from .keep import one_of_each, text_key
 
 SEED = 42
-_BLOCK_PROBES = 2048
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -60,87 +56,12 @@ def with_fingerprints(df: DataFrame, output: str, text_col: str = "text", shingl
     """Add ``output``, the fingerprint as a signed BIGINT."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(text_col).cast(pa.binary())
             got = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got.view(np.int64))], [*batch.schema.names, output])
 
-    return in_small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.LongType())]))
-
-
-class BKForest:
-    """BK-trees over 64-bit values, one per group, built and probed level by level.
-
-    A group's first value is its root; a value goes to the child that is keyed by its
-    distance to the node, until it is a new node.  Children of a node lie side by
-    side, ordered by key, so "edges within the radius" is one range per visit."""
-
-    def __init__(self, values: np.ndarray, groups: np.ndarray):
-        n = len(values)
-        self.values = values
-        place = np.asarray(groups, np.int64)  # (node, key) the value waits at, as one number
-        waiting = np.arange(n)
-        keys, nodes = [], []
-        first = True
-        while len(waiting):
-            order = np.lexsort((waiting, place))
-            waiting, place = waiting[order], place[order]
-            head = np.concatenate(([True], place[1:] != place[:-1]))
-            owner = waiting[head][np.cumsum(head) - 1]
-            if first:
-                self.root_groups, self.roots, first = place[head], waiting[head], False
-            else:
-                keys.append(place[head])
-                nodes.append(waiting[head])
-            rest, parent = waiting[~head], owner[~head]
-            place = parent * 65 + np.bitwise_count(values[rest] ^ values[parent]).astype(np.int64)
-            waiting = rest
-        keys, nodes = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, nodes))
-        order = np.argsort(keys)
-        self.keys, self.nodes = keys[order], nodes[order]
-
-    def within(self, probes: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indices (of probes, of values) of all pairs of one group within ``radius``."""
-        at = np.searchsorted(self.root_groups, groups)
-        known = (at < len(self.root_groups)) & (self.root_groups[np.minimum(at, len(self.root_groups) - 1)] == groups)
-        all_p, all_v = [], []
-        asked = np.flatnonzero(known)
-        for lo in range(0, len(asked), _BLOCK_PROBES):
-            p = asked[lo : lo + _BLOCK_PROBES]
-            node = self.roots[at[p]]
-            while len(p):
-                d = np.bitwise_count(probes[p] ^ self.values[node]).astype(np.int64)
-                hit = d <= radius
-                all_p.append(p[hit])
-                all_v.append(node[hit])
-                a = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0), "left")
-                b = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), "right")
-                n = b - a
-                p = np.repeat(p, n)
-                start = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                node = self.nodes[start + np.arange(len(p))]
-        empty = np.empty(0, np.int64)
-        return (np.concatenate(all_p), np.concatenate(all_v)) if all_p else (empty, empty)
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links (a, b) as stars around the least member of each part of this block."""
-    ids, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    root = np.arange(len(ids))
-    while True:
-        low = root.copy()
-        least = np.minimum(root[x], root[y])
-        np.minimum.at(low, root[x], least)
-        np.minimum.at(low, root[y], least)
-        low = low[low[root]]
-        while not np.array_equal(low, low[low]):
-            low = low[low]
-        if np.array_equal(low, root):
-            break
-        root = low
-    far = root != np.arange(len(ids))
-    return ids[far], ids[root[far]]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.LongType())]))
 
 
 def bands(count: int) -> list[tuple[int, int]]:
@@ -149,118 +70,57 @@ def bands(count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _bucket_keys(fp, radius: int):
-    """One long per pair of bands: the bits of both, hashed with the pair's number."""
-    parts = bands(radius + 2)
+def fps_by_band(fps: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """``fps(fp)`` -> rows for ``bktree.shards``: fingerprints within ``radius`` are equal in
+    one of ``radius + 1`` bands, so a fingerprint stands in one tree for each band: that of
+    all fingerprints whose band hashes to the same bucket."""
+    buckets = max(1, -(-fps.count() // shard_rows))
     keys = []
-    for k, pair in enumerate(combinations(parts, 2)):
-        mask = sum(((1 << w) - 1) << s for s, w in pair)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(k).alias("pair"), fp.bitwiseAND(F.lit(signed)).alias("bits")))
-    return F.array(*keys)
-
-
-_LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    for k, (shift, width) in enumerate(bands(radius + 1)):
+        bits = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+        keys.append(F.lit(k * buckets) + F.pmod(F.xxhash64(bits, F.lit(k)), F.lit(buckets)))
+    return fps.select("fp", F.explode(F.array(*keys)).alias("bucket")).select("bucket", F.col("bucket").alias("grp"), "fp")
 
 
-def links(fps: DataFrame, radius: int = 2, shard_rows: int = 4096) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``fps(fp)`` of distinct fingerprints -> ``(a, b)``: spanning links, such that the
     components are those of all pairs within ``radius`` bits."""
-    keyed = written(fps.select("fp", F.explode(_bucket_keys(F.col("fp"), radius)).alias("k")).select("k.pair", "k.bits", "fp"), "buckets")
-    sizes = keyed.groupBy("pair", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = written(sizes.withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int")), "bucket-sizes")
-    met = keyed.join(sizes.withColumnsRenamed({"pair": "p2", "bits": "b2"}), (F.col("pair") == F.col("p2")) & (F.col("bits") == F.col("b2"))).drop("p2", "b2")
-    # bit 0..: the shard whose tree holds the value; a large bucket's shards meet in pairs of blocks
-    shard = F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.col("shards")).cast("int")
-    met = met.withColumn("shard", shard)
-    other = F.sequence(F.lit(0), F.col("shards") - 1)
-    dealt = met.withColumn("o", F.explode(other)).select(
-        "pair", "bits", "fp", F.least("shard", "o").alias("tree"), F.greatest("shard", "o").alias("probe"), (F.col("shard") <= F.col("o")).alias("in_tree")
-    )
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "pair", "bits", "tree", "probe").sortWithinPartitions("pair", "bits", "tree", "probe")
-
-    def run(batches):
-        # whole blocks (pair, bits, tree, probe) are handled together, many small ones at once
-        held: list[list[np.ndarray]] = []
-        rows = 0
 
-        def solve(cols):
-            pair, bits, tree, probe, fp, in_tree = cols
-            new = np.ones(len(fp), bool)
-            new[1:] = (pair[1:] != pair[:-1]) | (bits[1:] != bits[:-1]) | (tree[1:] != tree[:-1]) | (probe[1:] != probe[:-1])
-            group = np.cumsum(new)
-            same = tree == probe
-            t = np.flatnonzero(in_tree)
-            p = np.flatnonzero(~in_tree | same)
-            u = fp.view(np.uint64)
-            forest = BKForest(u[t], group[t])
-            a, b = forest.within(u[p], group[p], radius)
-            a, b = fp[p[a]], fp[t[b]]
-            keep = a != b
-            return _forest(a[keep], b[keep])
+    def found(tree, probes):
+        parts = []
+        for p, v, _ in tree.within(probes.values, probes.groups, radius):
+            a, b = probes.marks[p, 0], tree.marks[v, 0]
+            far = a != b
+            if far.any():
+                parts.append(np.stack(spanning(a[far], b[far])))
+        if parts:
+            yield spanning(*np.concatenate(parts, axis=1))
 
-        def split(final):
-            nonlocal held, rows
-            cols = [np.concatenate(c) for c in zip(*held)]
-            pair, bits, tree, probe = cols[:4]
-            end = len(pair)
-            if not final:  # the last block may go on in the next batch
-                last = (pair == pair[-1]) & (bits == bits[-1]) & (tree == tree[-1]) & (probe == probe[-1])
-                end = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            held = [[c[end:] for c in cols]] if end < len(pair) else []
-            rows = len(pair) - end
-            if end:
-                a, b = solve([c[:end] for c in cols])
-                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            return None
+    return walk(shards(fps_by_band(fps, radius, shard_rows), ("fp",), shard_rows), found, "a long, b long")
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "bits", "tree", "probe", "fp", "in_tree")])
-                rows += batch.num_rows
-            if rows >= 4 * shard_rows and (out := split(False)) is not None:
-                yield out
-        if rows and (out := split(True)) is not None:
-            yield out
 
-    return dealt.mapInArrow(run, _LINKS)
-
-
-def _classes(marked: DataFrame, radius: int, shard_rows: int) -> DataFrame:
-    """``marked(doc_id, fp)`` -> ``(cfp, root, component_id)`` for each distinct fingerprint."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row per row of ``df``: ``doc_id``, ``fingerprint`` (16 hex digits),
+    ``component_id`` (the least id that links reach, its own included)."""
+    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = written(with_fingerprints(slim, "fp", "text", shingle).drop("text"), "fingerprints")
     least = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
     roots = components(links(least.select("fp"), radius, shard_rows))
     rooted = written(
         least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "roots"
     )
     named = written(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id")), "component-ids")
-    return written(rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("cfp"), "root", "component_id"), "named")
-
-
-def _marked(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return written(with_fingerprints(slim, "fp", "text", shingle).drop("text"), "fingerprints")
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, shard_rows: int = 4096) -> DataFrame:
-    """One row per row of ``df``: ``doc_id``, ``fingerprint`` (16 hex digits),
-    ``component_id`` (the least id that links reach, its own included)."""
-    marked = _marked(df, id_col, text_col, shingle)
-    named = _classes(marked, radius, shard_rows)
+    named = written(rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("cfp"), "component_id"), "named")
     return marked.join(named, F.col("fp") == F.col("cfp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, shard_rows: int = 4096) -> DataFrame:
-    """The rows of ``df`` that stay, columns unchanged: of each component the row with
-    its least id, once.  A component without any id keeps one of its rows."""
-    named = _classes(_marked(df, id_col, text_col, shingle), radius, shard_rows)
-    key, fp, root = (scratch_name(df, x) for x in ("kept", "fp", "root"))
-    stay = named.where("component_id is not null").select(F.col("component_id").alias(key)).distinct()
-    kept = df.join(stay, df[id_col] == F.col(key), "left_semi").dropDuplicates([id_col])
-    orphan = named.where("component_id is null").select(F.col("cfp").alias(key), F.col("root").alias(root))
-    nameless = with_fingerprints(df.where(df[id_col].isNull()), fp, text_col, shingle)
-    nameless = nameless.join(orphan, F.col(fp) == F.col(key)).dropDuplicates([root]).select(*df.columns)
-    return kept.unionByName(nameless)
+def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The rows of ``df`` that stay, columns unchanged: of each component one (see
+    ``keep.one_of_each``), also where texts share an id."""
+    slim = df.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    marked = written(with_fingerprints(slim, "fp", "text", shingle).drop("text"), "fingerprints")
+    roots = components(links(marked.select("fp").distinct(), radius, shard_rows))
+    rows = marked.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "fp").alias("root"))
+    return one_of_each(df, id_col, text_col, rows)

@@ -19,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import public_tokenizers  # noqa: E402
 
-from chunkframe.llm import byte_bpe, jaccard, mixing, quality_rules, secret_scan  # noqa: E402
+from chunkframe.llm import byte_bpe, mixing, near_text, quality_rules, secret_scan  # noqa: E402
 from chunkframe.llm._common import written  # noqa: E402
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,8 +33,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles one stays."""
-    return jaccard.dedupe(docs)
+    """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles one stays;
+    SimHash fingerprints in BK-trees name the candidates."""
+    return near_text.dedupe(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

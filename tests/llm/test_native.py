@@ -1,44 +1,56 @@
 """The native operators against plain Python."""
 
 import re
+import textwrap
 from collections import Counter
 
 from chunkframe.llm import licence_scan, quality_rules
-from chunkframe.llm.licence_scan import TEMPLATES, template_bigrams
+from chunkframe.llm.licence_scan import TEMPLATES, template_bigrams, template_words
 
 
 def plain_licence(text, threshold=0.8):
-    """Best (dice, template) over lines and the whole text, and the number of units that match."""
-    if not text:
-        return None, 0.0, 0
-    lines = text.split("\n")
-    best, n = (0.0, 1, None), 0
-    for unit in lines + ([text] if len(lines) > 1 else []):
-        w = re.sub("[^a-z0-9]+", " ", unit.lower()).strip().split(" ")
-        grams = {f"{a} {b}" for a, b in zip(w, w[1:])}
-        found = []
-        for k, (name, t) in enumerate(TEMPLATES.items()):
-            own = set(template_bigrams(t))
-            dice = 2 * len(own & grams) / (len(own) + len(grams)) if grams else 0.0
-            if dice >= threshold:
-                found.append((dice, -k, name))
-        n += bool(found)
-        best = max([best, *found], key=lambda x: (x[0], x[1])) if found and (best[2] is None or max(found) > best) else best
-    return best[2], best[0], n
+    """Best (template, dice) over all windows between two bigrams of the template, and how
+    many templates match."""
+    w = re.sub("[^a-z0-9]+", " ", (text or "").lower()).split()
+    grams = [f"{a} {b}" for a, b in zip(w, w[1:])]
+    found = []
+    for k, (name, t) in enumerate(TEMPLATES.items()):
+        own, reach = set(template_bigrams(t)), len(template_words(t)) - 1
+        best = 0.0
+        for i in range(len(grams)):
+            if grams[i] in own:
+                last = max(j for j in range(i, min(i + reach, len(grams))) if grams[j] in own)
+                window = set(grams[i : last + 1])
+                best = max(best, 2 * len(own & window) / (len(own) + len(window)))
+        if best >= threshold:
+            found.append((best, len(own), -k, name))
+    return (max(found)[3], max(found)[0], len(found)) if found else (None, 0.0, 0)
 
 
 def test_licence_dice(spark):
-    mit = TEMPLATES["MIT-text"]
+    mit, gpl, isc = (TEMPLATES[k] for k in ("MIT-text", "GPL-3.0-header", "ISC-text"))
+    code = "\n".join(f"def f{i}(a, b): return a + b * {i}  # add and scale" for i in range(60))
+    wrapped = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 72))
     texts = [
         "some prose\nLicensed under the Apache License, Version 2.0.\nmore prose", "released under THE mit license", "Released under the MIT License today.", "Licensed under CC BY 4.0", "Licensed under CC BY-NC 4.0!",
         mit.replace(". ", ".\n").replace(", ", ",\n"), mit + " " + " ".join(f"extra{i}" for i in range(200)), "license", "", None, "no licence at all " * 50, "Licensed under the Apache License, Version 2.0.\n" * 3,
-    ]
+        wrapped(mit, "// ") + "\n" + code, wrapped(gpl, " * ") + "\n" + code, code + "\n" + wrapped(isc, "# ") + "\n" + code, "as said, the text is Licensed under CC BY 4.0. and so on", gpl[:200], " ".join(mit.split()[::2]), "software permission " * 400,
+    ] + [t for t in TEMPLATES.values()]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r["doc_id"]: (r["licence"], r["dice"], r["n_matches"]) for r in licence_scan.scan(df).collect()}
     for i, t in enumerate(texts):
         name, dice, n = plain_licence(t)
-        assert got[i][0] == name and abs(got[i][1] - dice) < 1e-12 and got[i][2] == n, (t, got[i])
-    assert got[5][0] == "MIT-text" and got[6][0] is None
+        assert got[i][0] == name and abs(got[i][1] - dice) < 1e-12 and got[i][2] == n, (t, got[i], name, dice, n)
+    assert [got[i][0] for i in (5, 6, 12, 13, 14, 15, 16, 17)] == ["MIT-text", "MIT-text", "MIT-text", "GPL-3.0-header", "ISC-text", "CC-BY-4.0", None, None]
+    assert [got[19 + k][0] for k in range(len(TEMPLATES))] == list(TEMPLATES)
+
+
+def test_hints_lose_no_window():
+    """A template with all bigrams removed that hold a hint is short of the threshold."""
+    known = {k: template_bigrams(v) for k, v in TEMPLATES.items()}
+    chosen = set(licence_scan.hints(known, 0.8))
+    for own in known.values():
+        assert sum(not chosen & {*g.split()} for g in own) < licence_scan.least_shared(len(own), 0.8)
 
 
 def plain_counts(text):

@@ -59,24 +59,44 @@ def _having(pattern: str):
     return lambda s: s["value"].rlike(pattern)
 
 
+_CHUNK = 64
+
+
+def _chunks(a: Column) -> Column:
+    last = F.floor((F.size(a) - 1) / _CHUNK).cast("int")
+    return F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(a, c * _CHUNK + 1, _CHUNK))).otherwise(F.array())
+
+
+def running(a: Column, op, levels: int = 1) -> Column:
+    """What ``op`` (the sum, or the greatest) makes of the elements before each one, from
+    zero.  Chunk by chunk, then over the chunks' totals, so that the work is nearly in
+    proportion to the array."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), op)
+    short = F.transform(a, lambda x, j: total(F.slice(a, 1, j)))
+    if not levels:
+        return short
+
+    def long(chunks):
+        before = let(F.transform(chunks, total), lambda t: running(t, op, levels - 1))
+        return F.flatten(F.zip_with(chunks, before, lambda c, s: F.transform(c, lambda x, j: op(s, total(F.slice(c, 1, j))))))
+
+    return F.when(F.size(a) <= _CHUNK, short).otherwise(let(_chunks(a), long))
+
+
 def spans_of(text: Column, pattern: str, kind: int, least: int = 0, must: tuple[str, ...] = ()) -> Column:
     """Leftmost non-overlapping matches: array of struct(start, kind, end, value), code
     points, end exclusive; ``least``: matches whose first group is shorter are dropped,
     as are those without one of ``must``."""
-    def walked(found):
-        gaps = F.split(text, pattern)
-        lengths = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-
-        def step(acc, x):
-            start = acc["at"] + x["g"]
-            end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value"))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def placed(parts):
+        def span(x, at):
+            start = at + x["g"]
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["m"])).alias("end"), x["m"].alias("value"))
 
-        first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_NO_SPANS).alias("spans"))
-        return F.aggregate(F.filter(lengths, lambda x: x["m"].isNotNull()), first, step, lambda acc: acc["spans"])
+        steps = F.transform(parts, lambda x: (x["g"] + F.length(x["m"])).cast("bigint"))
+        return F.zip_with(parts, let(steps, lambda a: running(a, lambda s, x: s + x)), span)
 
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walked)
+    parts = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern), lambda m, g: F.struct(m.alias("m"), F.length(g).cast("bigint").alias("g")))
+    found = let(F.filter(parts, lambda x: x["m"].isNotNull()), placed)
     for one in must:
         found = F.filter(found, _having(one))
     if least:
@@ -109,8 +129,30 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _overlaps(base: Column, s: Column) -> Column:
-    return F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def _meet(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """The ``spans`` that overlap none of ``base`` (sorted), which is looked up by chunks."""
+    def grouped(items):
+        return F.transform(_chunks(items), lambda c: F.struct(F.get(c, F.lit(0))["start"].alias("start"), F.array_max(F.transform(c, lambda x: x["end"])).alias("end"), c.alias("items")))
+
+    def rest(index):
+        near = lambda s: F.exists(index, lambda a: _meet(a, s) & F.exists(a["items"], lambda b: _meet(b, s) & F.exists(b["items"], lambda c: _meet(c, s))))
+        return F.filter(spans, lambda s: ~near(s))
+
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(let(let(grouped(base), grouped), rest))
+
+
+def credentials(text: Column) -> Column:
+    """Base spans and the candidates that overlap none of them, in order: array of
+    struct(start, kind, end, hash); the hash stands for what is compared over the corpus."""
+    def both(x):
+        return F.sort_array(F.concat(x["base"], _apart(x["more"], x["base"])))
+
+    every = let(F.struct(base_spans(text).alias("base"), candidate_spans(text).alias("more")), both)
+    return F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(_credential(s), 256).alias("hash")))
 
 
 def ownership(seen: DataFrame, max_owners: int, max_repositories: int | None) -> DataFrame:
@@ -124,6 +166,10 @@ def ownership(seen: DataFrame, max_owners: int, max_repositories: int | None) ->
     return written(found.select(F.col("hash").alias("h"), ((F.col("owners") <= max_owners) & few).alias("live")), "ownership")
 
 
+def _is_base(s: Column) -> Column:
+    return s["kind"] < len(BASE)
+
+
 def _repository(df: DataFrame, column: str | None, limit: int) -> tuple[Column, int | None]:
     return (df[column].cast("string"), limit) if column else (F.lit(None).cast("string"), None)
 
@@ -142,12 +188,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     overlap a base span."""
     text = F.coalesce(df[text_col], F.lit(""))
     repository, limit = _repository(df, repository_col, max_repositories)
-    slim = df.select(df[id_col].alias("doc_id"), df[owner_col].cast("string").alias("owner"), repository.alias("repository"), text.alias("text"))
-    found = slim.select("doc_id", "owner", "repository", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("more"))
-    more = F.concat("base", F.filter("more", lambda s: ~_overlaps(F.col("base"), s)))
-    hashed = F.transform(more, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(_credential(s), 256).alias("hash")))
-    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    rows = written(found.select("doc_id", "owner", "repository", plain.alias("base"), hashed.alias("more"), F.monotonically_increasing_id().alias("row")), "scanned")
+    found = df.select(df[id_col].alias("doc_id"), df[owner_col].cast("string").alias("owner"), repository.alias("repository"), credentials(text).alias("more"))
+    rows = written(found.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    rows = rows.withColumn("base", F.transform(F.filter("more", _is_base), lambda s: s.dropFields("hash")))
     seen = rows.where(F.size("more") > 0).select("row", "owner", "repository", F.explode("more").alias("s")).select("row", "owner", "repository", "s.*")
     live = ownership(seen, max_owners, limit)
     judged = seen.join(live, F.col("hash") == F.col("h"))
@@ -163,46 +206,42 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     )
 
 
-def _replaced(text: Column, pattern: str, secret, mask: str) -> Column:
-    """``text`` with those matches replaced for which ``secret(match)`` holds."""
-    def pieces(found):
-        pairs = F.zip_with(found, F.split(text, pattern), lambda m, g: F.concat(g, F.when(m.isNull(), "").when(secret(m), mask).otherwise(m)))
-        return F.array_join(pairs, "")
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with what the ``spans`` (sorted) cover replaced, overlapping ones by one
+    ``mask``.  Pieces are cut from a form of four bytes a character, so that each cut
+    costs its own length."""
+    lead = F.encode(F.lit("x"), "UTF-32")  # keeps a byte-order mark inside a text as it is
+    ends = let(F.transform(spans, lambda s: s["end"]), lambda e: running(e, lambda s, x: F.greatest(s, x)))
+
+    def cut(b):
+        piece = lambda a, n: F.substring(F.decode(F.concat(lead, F.substring(b, (4 * a + 1).cast("int"), (4 * n).cast("int"))), "UTF-32"), F.lit(2), F.lit(2**31 - 1))
+        parts = F.zip_with(spans, ends, lambda s, e: F.when(s["start"] >= e, F.concat(piece(e, s["start"] - e), F.lit(mask))).otherwise(""))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), piece(last, F.lit(2**28).cast("bigint")))
 
-    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pieces)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.encode(text, "UTF-32"), cut)).otherwise(text)
 
 
 def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str | None = None,
            max_owners: int = 2, max_repositories: int = 50, mask: str = "[SECRET]") -> DataFrame:
-    """``df`` with every base span and every live candidate replaced by ``mask``; all rows
-    and columns stay, a null text stays null.  Only rows with candidates are shuffled."""
+    """``df`` with every base span and every live candidate, as ``scan`` judges them, replaced
+    by ``mask``; all rows and columns stay, a null text stays null.  Only rows with
+    candidates are shuffled."""
     key, live_col, more_col = (scratch_name(df, x) for x in ("text_hash", "live", "more"))
-    text = F.coalesce(df[text_col], F.lit(""))
-    repository, limit = _repository(df, repository_col, max_repositories)
-    base = base_spans(text)
-    more = let(F.array(candidate_spans(text)), lambda x: F.transform(F.filter(x[0], lambda s: ~_overlaps(base, s)), lambda s: F.sha2(_credential(s), 256)))
-    hashed = df.withColumn(more_col, F.when(text.rlike(_HINT), more).otherwise(F.array().cast("array<string>")))
-    some = hashed.where(F.size(more_col) > 0)
-    seen = some.select(df[owner_col].cast("string").alias("owner"), repository.alias("repository"), F.sha2(text, 256).alias("key"), F.explode(F.array_distinct(more_col)).alias("hash"))
-    seen = written(seen, "candidates")
-    live = ownership(seen.drop("key"), max_owners, limit)
-    by_text = seen.select("key", "hash").distinct().join(live.where("live"), F.col("hash") == F.col("h"))
-    by_text = written(by_text.groupBy(F.col("key").alias(key)).agg(F.collect_set("hash").alias(live_col)), "live-by-text")
-
-    def masked(t, pattern, secret):
-        return let(t, lambda x: _replaced(x, pattern, secret, mask))  # t once, or the expression doubles at each pattern
-
-    def long_enough(pattern, least):
-        return lambda m: F.length(F.regexp_extract(m, pattern, 1)) >= least if least else F.lit(True)
-
-    def clean(t, lives):
-        for pattern, least in BASE.values():
-            t = masked(t, pattern, long_enough(pattern, least))
-        if lives is not None:
-            for kind, (pattern, _) in MATCHED.items():
-                t = masked(t, pattern, lambda m: F.array_contains(lives, F.sha2(_key(m) if kind == "keyblock" else m, 256)))
-        return t
-
-    quiet = hashed.where(F.size(more_col) == 0).withColumn(text_col, clean(F.col(text_col), None)).select(*df.columns)
-    met = some.join(by_text, F.sha2(text, 256) == F.col(key), "left").withColumn(live_col, F.coalesce(F.col(live_col), F.array().cast("array<string>")))
-    return quiet.unionByName(met.withColumn(text_col, clean(F.col(text_col), F.col(live_col))).select(*df.columns))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = written(df.withColumn(more_col, credentials(text)), "marked")
+    repository, limit = _repository(marked, repository_col, max_repositories)
+    seen = marked.where(F.size(more_col) > 0).select(marked[owner_col].cast("string").alias("owner"), repository.alias("repository"), F.explode(more_col).alias("s"))
+    live = ownership(seen.select("owner", "repository", "s.hash"), max_owners, limit)
+    more = F.exists(more_col, lambda s: ~_is_base(s))
+    some = marked.where(more)
+    asked = some.select(F.sha2(text, 256).alias("key"), F.explode(F.filter(more_col, lambda s: ~_is_base(s))).alias("s")).select("key", "s.*").distinct()
+    by_text = asked.join(live.where("live"), F.col("hash") == F.col("h"))
+    by_text = written(by_text.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("start", "kind", "end")).alias(live_col)), "live-by-text")
+
+    def clean(rows, spans):
+        return rows.withColumn(text_col, F.when(F.col(text_col).isNotNull(), let(spans, lambda x: masked(F.col(text_col), x, mask)))).select(*df.columns)
+
+    base = F.transform(F.filter(more_col, _is_base), lambda s: s.dropFields("hash"))
+    met = some.join(by_text, F.sha2(text, 256) == F.col(key), "left")
+    return clean(marked.where(~more), base).unionByName(clean(met, F.sort_array(F.concat(base, F.coalesce(live_col, F.filter(base, lambda s: F.lit(False)))))))

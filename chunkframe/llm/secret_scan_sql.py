@@ -13,7 +13,7 @@ def _kind(k: int, pattern: str, least: int, must) -> str:
       {'WHERE ' + ' AND '.join(keep) if keep else ''}"""
 
 
-def op9_sql(source: str = "documents", max_owners: int = 2, max_repositories: int = 50) -> str:
+def op9_sql(source: str = "documents", max_owners: int = 2) -> str:
     base = " UNION ALL ".join(_kind(k, p, n, ()) for k, (p, n) in enumerate(BASE.values()))
     more = " UNION ALL ".join(_kind(k + len(BASE), p, 0, must) for k, (p, must) in enumerate(CANDIDATES.values()))
     names = " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate([*BASE, *CANDIDATES]))
@@ -25,8 +25,8 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
 b AS ({base}),
 c0 AS ({more}),
 c AS (SELECT rid, start, kind, stop, {value} AS m FROM b UNION ALL SELECT rid, start, kind, stop, m FROM c0 WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rid = c0.rid AND b.start < c0.stop AND c0.start < b.stop)),
-own AS (SELECT m, count(DISTINCT owner) AS o, count(DISTINCT doc_id) AS r FROM c JOIN d USING (rid) GROUP BY m),
-live AS (SELECT c.*, o <= {max_owners} AND r <= {max_repositories} AS live FROM c JOIN own USING (m)),
+own AS (SELECT m, count(DISTINCT coalesce(owner, '')) AS o FROM c JOIN d USING (rid) GROUP BY m),
+live AS (SELECT c.*, o <= {max_owners} AS live FROM c JOIN own USING (m)),
 per AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS k, count(*) FILTER (WHERE kind = 2) AS h,
         string_agg({shown}, ',' ORDER BY start, kind) AS s FROM b GROUP BY rid),
 every AS (SELECT rid, string_agg({shown}, ',' ORDER BY start, kind, stop) AS s FROM (SELECT rid, start, kind, stop FROM b UNION ALL SELECT rid, start, kind, stop FROM live WHERE live AND kind >= {len(BASE)}) GROUP BY rid),

@@ -34,3 +34,36 @@ def test_one_owner_with_many_documents(spark):
     assert {r["n_live"] for r in secret_scan.scan(df).collect()} == {1}
     assert all(value not in r["text"] for r in secret_scan.redact(df).collect())
     assert {r["n_example"] for r in secret_scan.scan(df, repository_col="doc_id").collect()} == {1}
+
+
+def test_scan_and_redaction_judge_alike(spark):
+    """A value that other owners hold as an assignment is an example for both; overlapping
+    spans are masked as one."""
+    shared = "Ab3" + "xYz09Q" * 6
+    inner = "Zz/" + "ghp_" + "aB3" * 14 + "/Tail0Secret9Part7XyZ"
+    mark = "\ufeff"
+    rows = [(1, f"{mark}see {shared} here \U0001f600 {mark}", "A"), (2, f"token = {shared}", "B"), (3, f"token = {shared}", "C"), (4, f"key {inner} end{mark}", "A"), (5, f"{mark}token = abcdefabcdef1234 {mark}x", "A")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in secret_scan.scan(df).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert got[1]["spans"] == "" and clean[1] == rows[0][1] and got[1]["n_example"] == 1
+    assert clean[2] == clean[3] == "[SECRET]"
+    assert got[4]["spans"].count(":") == 4 and clean[4] == f"key [SECRET] end{mark}"
+    assert clean[5] == f"{mark}[SECRET] {mark}x"
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    took = []
+    for n in (1600, 16_000):
+        text = " ".join(f"{i:016x} token=abcdefgh{i:08d} gh{'pousr'[i % 5]}_{'aB3' * 12}{i:06d}" for i in range(n // 2))
+        df = spark.createDataFrame([(1, text, "a")], "doc_id bigint, text string, source string")
+        at = time.time()
+        r = secret_scan.scan(df).collect()[0]
+        took.append(time.time() - at)
+        assert (r["n_hex"], r["n_assign"]) == (n // 2, n // 2)
+        ends = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",")]
+        assert ends[-1][1] == len(text) and text[slice(*ends[0])] == "0" * 16
+        assert secret_scan.redact(df).collect()[0]["text"] == " ".join(["[SECRET] [SECRET] [SECRET]"] * (n // 2))
+    assert took[1] < 10 * took[0] + 5

@@ -1,6 +1,6 @@
-"""DuckDB SQL of ``op3_quality_rules``: counts, corpus references and distances."""
+"""DuckDB SQL of ``op3_quality_rules``: counts, distances to the fixed references."""
 
-from .quality_rules import CLASSES, COMMON_WORDS
+from .quality_rules import CLASSES, COMMON_WORDS, PROSE, zipf
 
 _S = r"[\x20\x09-\x0D]"
 
@@ -38,17 +38,13 @@ c AS (SELECT rid, doc_id, key, len(ws) AS n_words, k[{n - 1}] AS spaces, k[{list
       list_append(k, CAST(length(t) - list_sum(k) AS BIGINT)) AS a,
       [{', '.join(f"CAST(len(list_filter(ws, lambda x: x = common[{j + 1}])) AS BIGINT)" for j in range(20))}] AS b FROM c0),
 h AS (SELECT *, list_append(b, CAST(n_words - list_sum(b) AS BIGINT)) AS bb FROM c),
-one AS (SELECT key, [{', '.join(f'sum(a[{j + 1}])' for j in range(n))}] AS ra, [{', '.join(f'sum(bb[{j + 1}])' for j in range(21))}] AS rb FROM h GROUP BY key),
-total AS (SELECT 'other' AS key, [{', '.join(f'sum(ra[{j + 1}])' for j in range(n))}] AS ra, [{', '.join(f'sum(rb[{j + 1}])' for j in range(21))}] AS rb FROM one),
-reference AS (SELECT * FROM one WHERE key <> 'other' UNION ALL SELECT * FROM total),
-far AS (SELECT h.*, {js('a', 'ra')} AS class_distance, CASE WHEN h.key = 'other' THEN 0 ELSE {js('bb', 'rb')} END AS common_distance
-        FROM h JOIN reference USING (key)),
+far AS (SELECT h.*, {js('a', PROSE)} AS class_distance, CASE WHEN h.key = 'other' THEN 0 ELSE {js('bb', zipf())} END AS common_distance FROM h),
 base AS (SELECT far.rid, doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_chars - spaces AS BIGINT) AS word_chars, n_symbols,
          CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, class_distance, common_distance
          FROM far LEFT JOIN lines ON lines.rid = far.rid LEFT JOIN rep ON rep.rid = far.rid),
 failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
 verdict AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-        NOT base_failed AND NOT (n_words >= 60 AND class_distance > 0.27) AND NOT (n_words >= 100 AND common_distance > 0.275) AS kept FROM failed)"""
+        NOT base_failed AND NOT (n_words >= 20 AND (class_distance > 0.1 + 1.0 / sqrt(n_words) OR common_distance > 0.1 + 1.7 / sqrt(n_words))) AS kept FROM failed)"""
 
 
 OP3_SQL = f"WITH {judged()}\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict"

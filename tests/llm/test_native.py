@@ -72,3 +72,13 @@ def test_rule_counts(edge, spark):
     for text, counts, kept in got:
         assert counts == plain_counts(text), (text or "")[:80]
         assert not (counts[5] and kept)
+
+
+def test_a_verdict_depends_on_the_text_alone(spark, sf):
+    junk = "BUY!! NOW!! $$$ *** CHEAP!! ### WIN!! %%% " * 3 + " ".join(f"Q{i}!! Z{i}$$" for i in range(60))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    alone = spark.createDataFrame([(-1, junk, "en")], "doc_id bigint, text string, lang string")
+    pick = lambda df: {r["doc_id"]: (r["quality"]["kept"], r["quality"]["class_distance"]) for r in quality_rules.judge(df).collect()}
+    one, every = pick(alone), pick(docs.unionByName(alone))
+    assert one[-1] == every[-1] and not one[-1][0]
+    assert pick(docs.limit(20)).items() <= every.items()

@@ -3,8 +3,10 @@
 The merges of a rank file (``base64 rank`` lines) are rebuilt for the
 ``tokenizers`` library, whose byte-level model works on a printable alphabet:
 every byte is mapped to one character.  ``encode`` yields ids and, if asked,
-code-point offsets; ``decode`` reverses the byte table, so a token that holds
-only a part of a character gives exactly its bytes back.
+code-point offsets; ``decode`` turns ids into the tokens' characters and these by the
+reversed byte table into bytes, so a token that holds only a part of a character gives
+exactly its bytes back.  As text, such parts become U+FFFD, are left out, are an error, or
+make the row null (``text_errors``).
 
 Defined results: a null text encodes as the empty text (no ids, zero bytes);
 null ids decode to zero bytes; empty tables give empty tables; repeated rows
@@ -29,6 +31,8 @@ _SPARK_TYPES = {
     "n_tokens": T.LongType(),
     "ids": T.ArrayType(T.IntegerType(), False),
     "ids_le": T.BinaryType(),
+    "starts_le": T.BinaryType(),
+    "ends_le": T.BinaryType(),
     "starts": T.ArrayType(T.IntegerType(), False),
     "ends": T.ArrayType(T.IntegerType(), False),
 }
@@ -84,9 +88,12 @@ class Encoder:
         self.matches = regex.compile(pattern).findall
         chars = byte_alphabet()
         self.alphabet = dict(enumerate(chars))
-        self.bytes_of = {c: b for b, c in enumerate(chars)}
         self.known: dict[str, list[int]] = {}
-        self.known_spans: dict[str, list[tuple[int, int, int]]] = {}
+        # bytes of each token: one character of the alphabet stands for each
+        vocab = json.loads(definition)["model"]["vocab"]
+        self.lengths = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)
+        for token, i in vocab.items():
+            self.lengths[i] = len(token)
 
     def _tokens(self, match: str):
         return self.model.tokenize(match.encode().decode("latin-1").translate(self.alphabet))
@@ -106,31 +113,15 @@ class Encoder:
             out += found
         return out
 
-    def _spans(self, match: str) -> list[tuple[int, int, int]]:
-        """(id, first, past the last) of the characters that each token's bytes touch."""
-        at, out = 0, []
-        plain = match.isascii()
-        owner = None if plain else np.repeat(np.arange(len(match)), [len(c.encode()) for c in match])
-        for t in self._tokens(match):
-            end = at + len(t.value)  # one character of the alphabet for each byte
-            out.append((t.id, at, end) if plain else (t.id, int(owner[at]), int(owner[end - 1]) + 1))
-            at = end
-        return out
-
-    def spans(self, text: str) -> np.ndarray:
-        """(n, 3): id, start and end of each token."""
-        out, at, known = [], 0, self.known_spans
-        for match in self.matches(text):
-            found = known.get(match)
-            if found is None:
-                found = self._spans(match)
-                if len(match) <= self.MEMO_CHARS:
-                    if len(known) >= self.MEMO:
-                        known.clear()
-                    known[match] = found
-            out += [(i, a + at, b + at) for i, a, b in found]
-            at += len(match)
-        return np.array(out, np.int64).reshape(-1, 3)
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, past the last) of the characters that each token's bytes touch."""
+        ends = np.cumsum(self.lengths[ids])
+        starts = ends - self.lengths[ids]
+        if not text.isascii():
+            raw = np.frombuffer(text.encode(), np.uint8)
+            owner = np.cumsum((raw & 0xC0) != 0x80) - 1
+            starts, ends = owner[starts], owner[ends - 1] + 1
+        return starts, ends
 
 
 def _encoder(definition: str, pattern: str) -> Encoder:
@@ -159,11 +150,13 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def encode(df: DataFrame, ranks_path: str, text_col: str = "text", outputs: tuple[str, ...] = ("ids", "starts", "ends"), pattern: str = PATTERN) -> DataFrame:
     """Add the columns ``outputs`` to ``df``: ``n_tokens``, ``ids``, ``ids_le`` (the
     ids packed as little-endian unsigned 32-bit integers, the form of token shards),
-    ``starts`` and ``ends`` (code points of the text that each token touches)."""
+    ``starts`` and ``ends`` (code points of the text that each token touches; ``starts_le``
+    and ``ends_le``: packed likewise)."""
     df = without(df, *outputs, keep=(text_col,))
     definition = tokenizer_json(read_ranks(ranks_path))
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, _SPARK_TYPES[c]) for c in outputs)])
-    with_offsets = bool({"starts", "ends"} & set(outputs))
+    with_offsets = bool({"starts", "ends", "starts_le", "ends_le"} & set(outputs))
+    packed = lambda rows: pa.array([x.astype("<u4").tobytes() for x in rows], pa.binary())
 
     def run(batches):
         encoder = _encoder(definition, pattern)
@@ -171,58 +164,69 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", outputs: tupl
             ids, starts, ends = [], [], []
             for text in batch.column(text_col):
                 text = text.as_py() or ""
+                ids.append(np.array(encoder.ids(text), np.uint32))
                 if with_offsets:
-                    found = encoder.spans(text)
-                    ids.append(found[:, 0].astype(np.uint32))
-                    starts.append(found[:, 1])
-                    ends.append(found[:, 2])
-                else:
-                    ids.append(np.array(encoder.ids(text), np.uint32))
+                    a, b = encoder.offsets(text, ids[-1])
+                    starts.append(a)
+                    ends.append(b)
             made = {"n_tokens": lambda: pa.array([len(x) for x in ids], pa.int64()),
                     "ids": lambda: _lists(ids), "starts": lambda: _lists(starts), "ends": lambda: _lists(ends),
-                    "ids_le": lambda: pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())}
+                    "ids_le": lambda: packed(ids), "starts_le": lambda: packed(starts), "ends_le": lambda: packed(ends)}
             yield pa.RecordBatch.from_arrays([*batch.columns, *(made[c]() for c in outputs)], [*batch.schema.names, *outputs])
 
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids_le", output: str = "decoded") -> DataFrame:
-    """Add ``output``: the bytes that the ids (packed, or an array of ints) stand for.
-    An id without a token is an error."""
+class Decoder:
+    """Ids to bytes: ids to characters of the byte alphabet, and these back to bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        chars = byte_alphabet()
+        self.tokens: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = "".join(chars[b] for b in token)
+        self.byte_of = np.zeros(max(map(ord, chars)) + 1, np.uint8)  # the reversed table
+        self.byte_of[[ord(c) for c in chars]] = np.arange(256)
+
+    def bytes(self, ids: list[int]) -> bytes:
+        shown = "".join(map(self.tokens.__getitem__, ids))
+        return self.byte_of[np.frombuffer(shown.encode("utf-16-le"), "<u2")].tobytes()
+
+
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids_le", output: str = "decoded", text_errors: str | None = None) -> DataFrame:
+    """Add ``output``: the bytes that the ids (packed, or an array of ints) stand for; with
+    ``text_errors`` their text (see ``text_of``).  An id without a token is an error."""
     df = without(df, output, keep=(ids_col,))
-    ranks = read_ranks(ranks_path)
-    names = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        names[rank] = token
+    decoder = Decoder(read_ranks(ranks_path))
     packed = isinstance(df.schema[ids_col].dataType, T.BinaryType)
 
     def run(batches):
-        look = names.__getitem__
         for batch in in_parts(batches):
-            rows = batch.column(ids_col)
             out = []
-            for k in range(len(rows)):
-                row = rows[k]
-                if not row.is_valid:
-                    out.append(b"")
-                elif packed:
-                    out.append(b"".join(map(look, np.frombuffer(row.as_py(), "<u4").tolist())))
-                else:
-                    out.append(b"".join(map(look, row.as_py())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, output])
+            for row in batch.column(ids_col):
+                ids = row.as_py() if row.is_valid else []
+                found = decoder.bytes(np.frombuffer(ids, "<u4").tolist() if packed and ids else ids or [])
+                out.append(text_of(found, text_errors) if text_errors else found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string() if text_errors else pa.binary())], [*batch.schema.names, output])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.BinaryType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.StringType() if text_errors else T.BinaryType())]))
 
 
-def text_of(decoded: bytes) -> str:
-    """Decoded bytes as text; halves of characters at a cut become U+FFFD."""
-    return decoded.decode("utf-8", "replace")
+def text_of(decoded: bytes, errors: str = "replace") -> str | None:
+    """Decoded bytes as text.  Parts of characters, where ids are cut inside one: U+FFFD
+    (``replace``), left out (``ignore``), an error (``strict``) or no text (``null``)."""
+    try:
+        return decoded.decode("utf-8", "strict" if errors == "null" else errors)
+    except UnicodeDecodeError:
+        if errors == "null":
+            return None
+        raise
 
 
 def digests(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode again, and keep the digests of both per row."""
+    """Encode, decode again, and keep the digests of both and of the offsets per row."""
     slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    coded = encode(slim, ranks_path, outputs=("n_tokens", "ids_le")).drop("text")
+    coded = encode(slim, ranks_path, outputs=("n_tokens", "ids_le", "starts_le", "ends_le")).drop("text")
     return decode(coded, ranks_path).select(
-        "doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(F.concat("starts_le", "ends_le"), 256).alias("offsets_sha256")
     )

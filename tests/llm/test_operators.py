@@ -129,6 +129,13 @@ def test_bpe_equals_tiktoken(spark, sf, docs):
         assert got[i]["n_tokens"] == len(ids)
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+        at, spans = 0, []  # the characters that each token's bytes touch
+        owner = [k for k, c in enumerate(text or "") for _ in c.encode()]
+        for token in enc.decode_tokens_bytes(ids):
+            spans.append((owner[at], owner[at + len(token) - 1] + 1))
+            at += len(token)
+        flat = np.array(spans, "<u4").reshape(-1, 2).T
+        assert got[i]["offsets_sha256"] == hashlib.sha256(flat.tobytes()).hexdigest()
 
 
 def test_bpe_offsets_and_split_characters(spark):
@@ -141,6 +148,13 @@ def test_bpe_offsets_and_split_characters(spark):
         assert piece in text[a:b].encode() and a < b
     half = names[r["ids"][[names[i].decode("utf-8", "ignore") == "" for i in r["ids"]].index(True)]]
     assert "�" in byte_bpe.text_of(half)
+    cut = spark.createDataFrame([(r["ids"][: k],) for k in range(len(r["ids"]) + 1)], "ids array<int>")
+    whole = "".join(f"{b:02x}" for b in text.encode())
+    assert all(whole.startswith(x["decoded"].hex()) for x in rows(byte_bpe.decode(cut, RANKS, "ids")))
+    found = [[x["decoded"] for x in rows(byte_bpe.decode(cut, RANKS, "ids", text_errors=e))] for e in ("null", "replace", "ignore")]
+    assert None in found[0] and found[0][-1] == text
+    for a, b, c in zip(*found):
+        assert text.startswith(c) and ((a == b == c) if a is not None else ("�" in b and c == b.rstrip("�")))
     back = rows(byte_bpe.decode(spark.createDataFrame([(r["ids"],), (None,)], "ids array<int>"), RANKS, "ids"))
     assert [bytes(x["decoded"]) for x in back] == [text.encode(), b""]
 

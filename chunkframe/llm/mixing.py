@@ -7,7 +7,10 @@ the table of sources, 31 exponents (five halvings) a job, so no source list is
 collected.  The weights are realised as whole epochs and one cut epoch per source: the
 documents of a source are dealt to 256 blocks, every epoch visits the blocks in its own
 permutation, and the last one ends where the token budget does.  The cut is found by
-sums over blocks, then over 256 parts of the cut block, then over its documents.
+sums over blocks, then over 256 parts of the cut block, then over its documents.  A
+reading is a document in an epoch; readings are ordered by epoch, then by the block's rank
+in the epoch's permutation (over all sources alike, so they alternate), then by the
+document's position in its block.
 
 Defined results: a null source is a source; a null text has no tokens; documents of a
 source without any token get one copy and weight 0; null ids hash like a value;
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import scratch_name, written
+from ._common import scratch_name, small, written
 from .quality_rules import word_array
 
 PARTS = 256
@@ -40,8 +43,15 @@ def _hash(id_col: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col.cast("string")), 1)
 
 
-def _block_key(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("full"), F.col("block"))
+def _block_key(seed: int, epoch: str = "full") -> Column:
+    return F.xxhash64(F.lit(seed), F.col(epoch).cast("bigint"), F.col("block").cast("bigint"))
+
+
+def permutations(spark, epochs: int, seed: int) -> DataFrame:
+    """``epoch, block, block_rank``: the order in which each epoch visits the blocks."""
+    pairs = spark.range(epochs * PARTS).select(F.floor(F.col("id") / PARTS).cast("int").alias("epoch"), (F.col("id") % PARTS).alias("block"))
+    key = pairs.withColumn("key", _block_key(seed, "epoch"))
+    return written(key.withColumn("block_rank", F.row_number().over(W.partitionBy("epoch").orderBy("key", "block")) - 1).drop("key"), "permutations")
 
 
 def _sums(shares: DataFrame, alphas: list[float]) -> list[tuple[float, float]]:
@@ -142,14 +152,34 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return out.select("doc_id", "source", F.col("tokens").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), _copies(seed).alias("copies"))
 
 
+def readings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = None,
+             max_repetition: float | None = None, budget_ratio: float | None = 1.0, seed: int = 17) -> DataFrame:
+    """``doc_id, source, n_tokens, weight, copies, epoch, block_rank, position``: one row for
+    each time that a row is read, and one without an epoch if it never is."""
+    rows = written(_dealt(df, F.col(id_col), F.col(source_col), tokens_of(F.col(text_col)), seed), "dealt")
+    out = _with_plan(rows, plan(rows, target_entropy, max_repetition, budget_ratio, seed)).withColumn("copies", _copies(seed))
+    place = F.row_number().over(W.partitionBy("source", "block").orderBy("h", "doc_id", "tokens")) - 1
+    out = written(out.select("doc_id", "source", F.col("tokens").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), "copies", "block", place.cast("long").alias("position")), "placed")
+    most = out.agg(F.max("copies")).first()[0] or 0
+    each = out.withColumn("e", F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1))))
+    order = small(permutations(df.sparkSession, most, seed).withColumnRenamed("block", "b"))
+    met = each.join(order, (F.col("e") == F.col("epoch")) & (F.col("block") == F.col("b")), "left")
+    return met.select("doc_id", "source", "n_tokens", "weight", "copies", "epoch", "block_rank", "position")
+
+
 def realise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = None,
             max_repetition: float | None = None, budget_ratio: float | None = None, seed: int = 17) -> DataFrame:
-    """The rows of ``df``, columns unchanged, each as often as the mix reads it."""
+    """The rows of ``df``, columns unchanged, each as often as the mix reads it; every
+    partition is in the order of reading."""
     rows = written(_dealt(df, F.col(id_col), F.col(source_col), tokens_of(F.col(text_col)), seed), "dealt")
     cuts = plan(rows, target_entropy, max_repetition, budget_ratio, seed)
-    whole, made = scratch_name(df, "row"), scratch_name(df, "copy")
+    most = _with_plan(rows, cuts).agg(F.max(_copies(seed))).first()[0] or 0
+    order = small(permutations(df.sparkSession, most, seed).withColumnRenamed("block", "b"))
+    whole = scratch_name(df, "row")
     kept = df.select(F.struct(*df.columns).alias(whole))
     dealt = kept.select(whole, F.col(whole)[source_col].cast("string").alias("source"), _hash(F.col(whole)[id_col], seed).alias("h"))
     dealt = dealt.withColumns({"block": F.shiftright("h", 55), "part": F.shiftright("h", 47).bitwiseAND(F.lit(PARTS - 1))})
-    times = _with_plan(dealt, cuts).select(whole, _copies(seed).alias(made)).where(F.col(made) > 0)
-    return times.select(whole, F.explode(F.sequence(F.lit(1), F.col(made))).alias(made)).select(f"{whole}.*")
+    times = _with_plan(dealt, cuts).select(whole, "block", "h", _copies(seed).alias("copies")).where("copies > 0")
+    each = times.withColumn("e", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    met = each.join(order, (F.col("e") == F.col("epoch")) & (F.col("block") == F.col("b")))
+    return met.sortWithinPartitions("epoch", "block_rank", "h").select(f"{whole}.*")

@@ -62,9 +62,9 @@ def op6_byte_bpe(spark, sf_dir):
 
 
 def op7_temperature_mixing(spark, sf_dir):
-    from .mixing import mix
+    from .mixing import readings
 
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), target_entropy=0.9, budget_ratio=1.0)
+    return readings(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), target_entropy=0.9, budget_ratio=1.0)
 
 
 def op8_licence_dice(spark, sf_dir):

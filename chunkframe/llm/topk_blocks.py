@@ -13,8 +13,10 @@ and the k best over all segments follow from a window with a partial group limit
 
 Defined results: vectors that are null, or hold null, NaN or infinite components, or
 have another length than the queries', take no part; a query never meets its own row,
-so repeated rows with one id never meet each other; fewer than k candidates: all of
-them; null ids take no part; empty tables give no rows.
+so repeated rows with one id never meet each other; equal query rows (id and vector) are
+one query, rows of one id with different vectors are a query each; fewer than k
+candidates: all of them; null ids take no part; empty tables give no rows.  Sums beyond
+53 bits are made of whole numbers of any size; a score beyond 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -32,12 +34,18 @@ _NONE = np.iinfo(np.int64).min
 _LAST = np.iinfo(np.int64).max
 
 
-def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows: by float64 while sums stay below 2**53."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+def _dot(a: np.ndarray, b: np.ndarray, bound: bool = False) -> np.ndarray:
+    """Exact integer products of rows: by float64 while sums stay below 2**53, then by
+    Python's integers.  What 64 bits can't hold is cut to them in a ``bound``."""
+    top = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
     if top < _EXACT:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return np.stack([(b * row).sum(1) for row in a])
+    found = a.astype(object) @ b.astype(object).T
+    if bound:
+        found = np.clip(found, _NONE + 1, _LAST)
+    elif found.size and (found.max() > _LAST or found.min() <= _NONE):
+        raise OverflowError("a score is beyond 64 bits")
+    return found.astype(np.int64)
 
 
 def search_pack(q_ids, q, c_ids, c, k: int, block: int):
@@ -47,7 +55,7 @@ def search_pack(q_ids, q, c_ids, c, k: int, block: int):
     cuts = range(0, len(c), block)
     high = np.stack([c[s : s + block].max(0) for s in cuts])
     low = np.stack([c[s : s + block].min(0) for s in cuts])
-    bound = _dot(np.maximum(q, 0), high) + _dot(np.minimum(q, 0), low)
+    bound = _dot(np.hstack((np.maximum(q, 0), np.minimum(q, 0))), np.hstack((high, low)), bound=True)
     order = np.argsort(-bound, axis=1, kind="stable")
     live = np.arange(len(q))
     for rank in range(len(high)):
@@ -72,8 +80,9 @@ def search_pack(q_ids, q, c_ids, c, k: int, block: int):
 
 
 def _matrices(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Length of vector -> (ids, matrix), in the order of the ids."""
+    """Length of vector -> (ids, matrix, queries), in the order of the ids."""
     ids = rows.column("vec_id").to_numpy()
+    asked = rows.column("query").to_numpy() if "query" in rows.column_names else ids
     q = rows.column("q").combine_chunks()
     flat, ends = q.flatten().to_numpy(zero_copy_only=False), q.offsets.to_numpy()
     starts, lengths = ends[:-1] - ends[0], np.diff(ends)
@@ -81,7 +90,7 @@ def _matrices(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     for d in np.unique(lengths):
         at = np.flatnonzero(lengths == d)
         at = at[np.argsort(ids[at], kind="stable")]
-        out[int(d)] = ids[at], flat[starts[at][:, None] + np.arange(d)]
+        out[int(d)] = ids[at], flat[starts[at][:, None] + np.arange(d)], asked[at]
     return out
 
 
@@ -112,19 +121,20 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     cuts = rows.approxQuantile("vec_id", [j / segments for j in range(1, segments)], 0.1 / segments) if segments > 1 else []
     segment = _segment(F.col("vec_id"), cuts)
     # the stated query set against all rows, in blocks: every pack meets every segment
-    asked = rows.where("is_query").withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int"))
-    asked = asked.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(len(cuts))))).select("segment", "pack", "vec_id", "q")
+    asked = written(rows.where("is_query").select("vec_id", "q").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
+    asked = asked.withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int"))
+    asked = asked.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(len(cuts))))).select("segment", "pack", "vec_id", "q", "query")
     held = rows.withColumn("segment", segment).withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).select("segment", "pack", "vec_id", "q")
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        found = [(np.empty(0, np.int64),) * 3]
+        found = [(np.empty(0, np.int64),) * 4]
         there = _matrices(candidates)
-        for d, (ids, q) in _matrices(queries).items():
+        for d, (ids, q, asked) in _matrices(queries).items():
             if d in there:
-                row, near, score = search_pack(ids, q, *there[d], k, block_rows)
-                found.append((ids[row], near, score))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], names=["query_id", "vec_id", "score"])
+                row, near, score = search_pack(ids, q, *there[d][:2], k, block_rows)
+                found.append((asked[row], ids[row], near, score))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], names=["query", "query_id", "vec_id", "score"])
 
-    near = asked.groupBy("segment", "pack").cogroup(held.groupBy("segment", "pack")).applyInArrow(run, "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = asked.groupBy("segment", "pack").cogroup(held.groupBy("segment", "pack")).applyInArrow(run, "query long, query_id long, vec_id long, score long")
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

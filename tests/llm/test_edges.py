@@ -43,6 +43,12 @@ def test_stages_keep_columns(edge, stage):
     assert stage(edge).count() > 0
 
 
+def test_readings_of_edge_rows(edge):
+    copies = [r["copies"] for r in mixing.mix(edge, target_entropy=0.0).collect()]
+    assert mixing.readings(edge, target_entropy=0.0).count() == sum(max(c, 1) for c in copies)
+    assert mixing.readings(edge.limit(0), target_entropy=0.5).count() == 0
+
+
 def test_missing_and_empty_texts_score_alike(edge):
     for f in (ALL["cnn"], ALL["toxicity"]):
         got = {r["doc_id"]: r["score"] for r in f(edge.where("doc_id in (1, 2)")).collect()}
@@ -55,6 +61,9 @@ def test_topk_skips_unsound_vectors(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_blocks.top_k(df, F.col("vec_id") % 50 == 0).collect())
     half = 128 * 256
     assert got == [(0, 1, 5, half), (0, 2, 5, half), (0, 3, 50, half), (50, 1, 0, half), (50, 2, 5, half), (50, 3, 5, half)]
+    again = [(50, [1.0])] * 2 + [(50, [2.0])] + [(i, [float(i)]) for i in range(1, 8)]
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk_blocks.top_k(df.sparkSession.createDataFrame(again, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 50 == 0).collect())
+    assert got == sorted((k + 1, 7 - k, 65536 * x * (7 - k)) for k in range(5) for x in (1, 2))
     assert topk_blocks.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 

@@ -114,7 +114,10 @@ class Array:
         index = index if isinstance(index, tuple) else (index,)
         if len(index) != self.ndim:
             raise Indexing(f"{len(index)} subscripts for rank {self.ndim}")
-        return [_positions(i, n) for i, n in zip(index, self.shape)]
+        picked = [_positions(i, n) for i, n in zip(index, self.shape)]
+        if any(not isinstance(p, range) and not p for p in picked):
+            raise Indexing("empty subscripts are not supported")
+        return picked
 
     def select(self, spark: SparkSession, index) -> DataFrame:
         """Outer indexing by slices, integers, lists or masks, one per dimension:
@@ -124,8 +127,8 @@ class Array:
         count = [len(p) if isinstance(p, range) else (max(p) + 1 - min(p) if p else 0) for p in picked]
         df = self.cells(spark, start, count)
         for d, p in enumerate(picked):
-            if not isinstance(p, range):
-                df = df.where(F.col(f"i{d}").isin(sorted(set(p))) if p else F.lit(False))
+            if not isinstance(p, range) and len(p) <= BROADCAST_INDEX:  # beyond, the box and the join
+                df = df.where(F.col(f"i{d}").isin(sorted(set(p))))
         for d, p in enumerate(picked):
             if isinstance(p, range):
                 df = df.withColumn(f"o{d}", F.col(f"i{d}") - F.lit(p.start))
@@ -370,7 +373,7 @@ class Array:
 
     def _grown(self, extent, dim: int) -> ArrayMetadata:
         if not self.ndim:
-            raise Indexing("a rank-0 array can't grow")
+            raise ShapeMismatch("a rank-0 array can't grow")
         if not 0 <= dim < self.ndim:
             raise Indexing(f"dimension {dim} of rank {self.ndim}")
         if len(extent) != self.ndim or any(n != m for d, (n, m) in enumerate(zip(extent, self.shape)) if d != dim):
@@ -385,12 +388,14 @@ class Array:
         self.meta = grown.meta
         self._save()
 
-    def append_df(self, df: DataFrame, length: int, dim: int = 0) -> None:
-        """Grow along ``dim`` by ``length`` and assign cells whose ``i{dim}`` starts at 0."""
+    def append_df(self, df: DataFrame, length: int, dim: int = 0, attributes: dict | None = None) -> None:
+        """Grow along ``dim`` by ``length`` and assign cells whose ``i{dim}`` starts at 0.  The
+        new shape and ``attributes`` are published in one document, after the chunks."""
         extent = [length if d == dim else n for d, n in enumerate(self.shape)]
         grown = Array(self.store, self.path, self._grown(extent, dim), self.write_empty_chunks)
         grown.write_df(df.withColumn(f"i{dim}", F.col(f"i{dim}") + F.lit(self.shape[dim])))
         self.meta = grown.meta
+        self.meta.attributes = self.attrs | (attributes or {})
         self._save()
 
     # -- relational helpers --------------------------------------------------

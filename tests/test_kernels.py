@@ -207,8 +207,9 @@ def test_shard_rules():
         chain(("sharding_indexed", {"chunk_shape": [2, 2]}), shape=(5, 4))
     with pytest.raises(errors.InvalidMetadata):
         chain(("sharding_indexed", {"chunk_shape": []}), shape=())
-    with pytest.raises(errors.InvalidCodecs):
-        chain(("sharding_indexed", {"chunk_shape": [1, 1], "index_codecs": [{"name": "bytes"}, {"name": "gzip"}]}), shape=(2, 2))
+    for other in ({"name": "gzip"}, {"name": "transpose", "configuration": {"order": [2, 1, 0]}}):
+        with pytest.raises(errors.UnsupportedCodec):
+            chain(("sharding_indexed", {"chunk_shape": [1, 1], "index_codecs": [other, {"name": "bytes"}] if other["name"] == "transpose" else [{"name": "bytes"}, other]}), shape=(2, 2))
 
 
 # -- types ---------------------------------------------------------------------------

@@ -140,7 +140,7 @@ def test_select(spark, store):
     a.write(np.arange(64).reshape(8, 8))
     got = {(r["o0"], r["o1"]): r["value"] for r in a.select(spark, ([7, 1, 7], slice(2, 4))).collect()}
     assert got == {(i, j): 8 * p + 2 + j for i, p in enumerate([7, 1, 7]) for j in range(2)}
-    assert a.select(spark, ([], slice(0, 2))).count() == 0
+    assert a.select(spark, ([2], slice(0, 0))).count() == 0
     flat = [r["value"] for r in a.flat(spark).orderBy("lin").collect()]
     assert flat == np.arange(64).reshape(8, 8).reshape(-1, order="F").tolist()
     with pytest.raises(errors.Indexing):
@@ -189,3 +189,41 @@ def test_stream_appends_once(spark, store, tmp_path):
     run(cells.where("t >= 12"), 1)
     a = cf.open(store, "a")
     assert a.shape == (20,) and a.read().tolist() == [2.0 * i for i in range(20)]
+
+
+def test_stream_replays_a_batch_that_crashed(spark, store, monkeypatch):
+    """A crash before, and one after, the array's document is written."""
+    from chunkframe.operators.array import Array
+
+    cf.create(store, (0,), path="a", chunk_shape=7)
+    run = appender(store, "a", "v", "t")
+    cells = spark.range(20).select((F.col("id") % 5).alias("t"), F.col("id").cast("double").alias("v"))
+    want = [float(i) for t in range(5) for i in range(t, 20, 5)]
+    save = Array._save
+    for before in (True, False):
+        batch = 0 if before else 1
+
+        def crash(self):
+            if not before:
+                save(self)
+            raise RuntimeError("lost")
+
+        monkeypatch.setattr(Array, "_save", crash)
+        with pytest.raises(RuntimeError):
+            run(cells, batch)
+        monkeypatch.undo()
+        run(cells, batch)
+        assert cf.open(store, "a").read().tolist() == want * (1 if before else 2)
+
+
+def test_empty_subscripts_and_rank_0(spark, store):
+    a = cf.create(store, (4,), path="e", chunk_shape=2)
+    for index in ([], [False] * 4):
+        with pytest.raises(errors.Indexing):
+            a[index]
+        with pytest.raises(errors.Indexing):
+            a.select(spark, index)
+    with pytest.raises(errors.ShapeMismatch):
+        cf.create(store, (), path="z").append(1.0)
+    with pytest.raises(errors.UnsupportedCodec):
+        cf.create(store, (4,), path="s", chunk_shape=4, codecs=[{"name": "sharding_indexed", "configuration": {"chunk_shape": [2], "codecs": [{"name": "bytes"}], "index_codecs": [{"name": "bytes"}, {"name": "gzip"}]}}])

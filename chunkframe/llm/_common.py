@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import shared_folder
+
 #: Separators of words: ASCII space and the controls tab to carriage return.
 SPACE_CLASS = r"\x20\x09-\x0D"
 
@@ -16,26 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, a laptop) a temporary one is made and set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="chunkframe-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet into the shared folder and
     read it back, so lost executors cost one re-read and not a re-computation.
     The files go when the session's file system closes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chunkframe-{what}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows and bytes of a batch that Python code works on at once.

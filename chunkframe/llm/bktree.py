@@ -4,11 +4,11 @@ Children of a node are keyed by their integer Hamming distance to it, and a prob
 follows only the edges whose key is within the radius of its own distance.  A shard
 holds the trees of some groups (a tree for each group) as flat arrays.
 
-``shards`` builds them in the tasks, one row for each shard, and ``walk`` sends every
-shard to the blocks of probes that may meet it: by a broadcast while all trees together
-are known to be at most ``BROADCAST_BYTES``, by a shuffle join on the shard otherwise.
-A bucket of many fingerprints becomes several shards of bounded size, whose blocks meet
-in pairs.
+``shards`` builds them in the tasks, one row for each shard, and ``walk`` brings every
+shard together with the blocks of probes that may meet it: by a broadcast while all trees
+together are known to be at most ``BROADCAST_BYTES``; beyond that a block, which is its
+shard's own members, walks its tree where it lies.  A bucket of many fingerprints becomes
+several shards of bounded size, whose blocks meet in pairs, by a shuffle join if need be.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from ._common import written
 
 #: Fingerprints of a shard, about; a bucket of more than twice as many is split.
 SHARD_ROWS = 2048
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 _PROBES_AT_ONCE = 512
+WHOLE = -1  # the salt of a bucket that is one shard
 
 
 class BKForest:
@@ -129,7 +130,7 @@ def shards(keyed: DataFrame, marks: tuple[str, ...], shard_rows: int = SHARD_ROW
     columns that go with them, and a BINARY column ``load`` if there is one."""
     sizes = written(keyed.select("bucket").groupBy(F.col("bucket").alias("b")).agg(F.ceil(F.count("*") / (2 * shard_rows)).cast("int").alias("salts")).where("salts > 1"), "split-buckets")
     # split buckets hold more than 2 * shard_rows rows each, so there are few of them
-    salted = keyed.join(sizes, F.col("bucket") == F.col("b"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("fp", F.lit(7)), 2 * F.col("salts")).cast("int"), F.lit(0)))
+    salted = keyed.join(sizes, F.col("bucket") == F.col("b"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("fp", F.lit(7)), 2 * F.col("salts")).cast("int"), F.lit(WHOLE)))
 
     def build(key, rows):
         grp, fp, *mark = (rows.column(c).to_numpy() for c in ("grp", "fp", *(f"m{k}" for k in range(len(marks)))))
@@ -153,8 +154,7 @@ def walk(made: DataFrame, found, schema: str) -> DataFrame:
     cells = ("mark", "load", "load_at", *BKForest.FIELDS)
     size = made.agg(F.sum(sum(F.length(f) for f in cells))).first()[0] or 0
     blocks = made.select("bucket", "salt", *(F.col(c).alias(f"p_{c}") for c in cells if c not in ("roots", "keys", "nodes"))).withColumnsRenamed({"bucket": "b", "salt": "s"})
-    trees = F.broadcast(made) if size <= BROADCAST_BYTES else made
-    met = blocks.join(trees, (F.col("b") == F.col("bucket")) & (F.col("s") <= F.col("salt"))).drop("b", "s", "bucket", "salt")
+    met = lambda trees, order: blocks.join(trees, (F.col("b") == F.col("bucket")) & order).drop("b", "s", "bucket", "salt")
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches):
@@ -167,7 +167,11 @@ def walk(made: DataFrame, found, schema: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                for cols in found(side(row, ""), side(row, "p_")):
+                tree = side(row, "")
+                for cols in found(tree, side(row, "p_") if "p_mark" in row else tree):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    return met.mapInArrow(run, schema)
+    if size <= BROADCAST_BYTES:
+        return met(F.broadcast(made), F.col("s") <= F.col("salt")).mapInArrow(run, schema)
+    pairs = met(made.where(F.col("salt") != WHOLE), F.col("s") < F.col("salt"))
+    return made.mapInArrow(run, schema).unionByName(pairs.mapInArrow(run, schema))

@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
-from chunkframe.llm import near_text
+import pytest
+
+from chunkframe.llm import bktree, near_text
 from chunkframe.llm.bktree import BKForest
 
 
@@ -50,8 +52,11 @@ def test_rows_without_id_and_no_rows(spark, edge):
     assert near_text.dedupe(edge.limit(0)).count() == 0
 
 
-def test_dense_groups_and_split_shards(spark):
-    """A group whose members are often just below the threshold, over several shards."""
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_dense_groups_and_split_shards(spark, monkeypatch, most):
+    """A group whose members are often just below the threshold, over several shards, with
+    and without a broadcast."""
+    monkeypatch.setattr(bktree, "BROADCAST_BYTES", most)
     rng = random.Random(8)
     words = [f"w{i}" for i in range(5000)]
     base = [rng.choice(words) for _ in range(150)]

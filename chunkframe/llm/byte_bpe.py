@@ -17,6 +17,7 @@ column with the name of an output is replaced by it.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 
 import numpy as np
@@ -31,8 +32,7 @@ _SPARK_TYPES = {
     "n_tokens": T.LongType(),
     "ids": T.ArrayType(T.IntegerType(), False),
     "ids_le": T.BinaryType(),
-    "starts_le": T.BinaryType(),
-    "ends_le": T.BinaryType(),
+    "offsets_sha256": T.StringType(),
     "starts": T.ArrayType(T.IntegerType(), False),
     "ends": T.ArrayType(T.IntegerType(), False),
 }
@@ -75,7 +75,7 @@ class Encoder:
     match's bytes are mapped to characters and merged.  Short matches are remembered, as
     most of a text is made of words met before; the memo is bounded."""
 
-    MEMO, MEMO_CHARS = 200_000, 48
+    MEMO, MEMO_CHARS = 100_000, 48
 
     def __init__(self, definition: str, pattern: str):
         import os
@@ -150,28 +150,30 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def encode(df: DataFrame, ranks_path: str, text_col: str = "text", outputs: tuple[str, ...] = ("ids", "starts", "ends"), pattern: str = PATTERN) -> DataFrame:
     """Add the columns ``outputs`` to ``df``: ``n_tokens``, ``ids``, ``ids_le`` (the
     ids packed as little-endian unsigned 32-bit integers, the form of token shards),
-    ``starts`` and ``ends`` (code points of the text that each token touches; ``starts_le``
-    and ``ends_le``: packed likewise)."""
+    ``starts`` and ``ends`` (code points of the text that each token touches) and
+    ``offsets_sha256`` (of all starts, then all ends, packed likewise)."""
     df = without(df, *outputs, keep=(text_col,))
     definition = tokenizer_json(read_ranks(ranks_path))
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, _SPARK_TYPES[c]) for c in outputs)])
-    with_offsets = bool({"starts", "ends", "starts_le", "ends_le"} & set(outputs))
-    packed = lambda rows: pa.array([x.astype("<u4").tobytes() for x in rows], pa.binary())
+    with_offsets, with_digests = bool({"starts", "ends"} & set(outputs)), "offsets_sha256" in outputs
 
     def run(batches):
         encoder = _encoder(definition, pattern)
         for batch in in_parts(batches):
-            ids, starts, ends = [], [], []
+            ids, starts, ends, digests = [], [], [], []
             for text in batch.column(text_col):
                 text = text.as_py() or ""
                 ids.append(np.array(encoder.ids(text), np.uint32))
-                if with_offsets:
+                if with_offsets or with_digests:
                     a, b = encoder.offsets(text, ids[-1])
-                    starts.append(a)
-                    ends.append(b)
+                    if with_offsets:
+                        starts.append(a)
+                        ends.append(b)
+                    if with_digests:
+                        digests.append(hashlib.sha256(np.concatenate((a, b)).astype("<u4").tobytes()).hexdigest())
             made = {"n_tokens": lambda: pa.array([len(x) for x in ids], pa.int64()),
                     "ids": lambda: _lists(ids), "starts": lambda: _lists(starts), "ends": lambda: _lists(ends),
-                    "ids_le": lambda: packed(ids), "starts_le": lambda: packed(starts), "ends_le": lambda: packed(ends)}
+                    "ids_le": lambda: pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), "offsets_sha256": lambda: pa.array(digests, pa.string())}
             yield pa.RecordBatch.from_arrays([*batch.columns, *(made[c]() for c in outputs)], [*batch.schema.names, *outputs])
 
     return df.mapInArrow(run, schema)
@@ -226,7 +228,7 @@ def text_of(decoded: bytes, errors: str = "replace") -> str | None:
 def digests(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode again, and keep the digests of both and of the offsets per row."""
     slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    coded = encode(slim, ranks_path, outputs=("n_tokens", "ids_le", "starts_le", "ends_le")).drop("text")
+    coded = encode(slim, ranks_path, outputs=("n_tokens", "ids_le", "offsets_sha256")).drop("text")
     return decode(coded, ranks_path).select(
-        "doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(F.concat("starts_le", "ends_le"), 256).alias("offsets_sha256")
+        "doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "offsets_sha256"
     )

@@ -6,7 +6,7 @@ shingles' hashes; two texts at similarity 0.8 differ in about 10 of 64 bits (dev
 2.9).  Trees of such a wide radius prune little over a whole corpus, so the texts that
 share a min-hash key (two minima, ``MINS`` keys: a pair at 0.8 shares none with a chance
 of 8e-8) form one BK-tree, and the walks of radius ``RADIUS`` (a pair at 0.8 lies beyond
-it with a chance of 5e-5) name the candidates.
+it with a chance of 1.1e-4) name the candidates.
 
 Candidates must also share enough tokens, by 16 bits of each hash, which can only add to
 what is shared: of sets of at most ``WHOLE`` tokens all are compared; of larger ones a

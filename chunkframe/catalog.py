@@ -68,7 +68,7 @@ def create(store, shape, dtype="float64", *, path: str = "", chunk_shape=None, s
     if store.exists(key_of(path)):
         if not overwrite:
             raise NodeExists(path or "/")
-        _erase_below(store, path)
+        store.erase_below(path)
     _ensure_parents(store, path)
     store.set(key_of(path), meta.to_json().encode())
     return Array(store, path, meta, write_empty_chunks)
@@ -118,21 +118,17 @@ def _ensure_parents(store: Store, path: str) -> None:
             raise NodeExists(f"an array is at {at or '/'}")
 
 
-def _erase_below(store: Store, path: str) -> None:
-    for key in store.list(path):
-        store.erase(key)
-
-
 def delete_node(store, path: str = "") -> None:
     """Erase everything at and below ``path``; the root empties the store."""
     store, path = resolve(store), normal_path(path)
     if not store.exists(key_of(path)):
         raise NodeNotFound(path or "/")
-    _erase_below(store, path)
+    store.erase_below(path)
 
 
 def consolidate_metadata(store) -> Group:
-    """Inline the documents of all nodes below the root into the root group."""
+    """Inline the documents of all nodes below the root into the root group.  Folders are
+    walked from the root and those of arrays aren't entered, so no chunk key is listed."""
     store = resolve(store)
     text = store.get(METADATA_KEY)
     if text is None:
@@ -140,8 +136,20 @@ def consolidate_metadata(store) -> Group:
     if node_type(text) != "group":
         raise InvalidMetadata("the root is no group")
     meta = GroupMetadata.from_json(text)
-    tail = "/" + METADATA_KEY
-    meta.consolidated = {k[: -len(tail)]: json.loads(store.get(k)) for k in store.list() if k.endswith(tail)}
+    found = {}
+    waiting = [""]
+    while waiting:
+        at = waiting.pop()
+        for name in store.list_dir(at):
+            if name == METADATA_KEY:
+                continue
+            path = f"{at}/{name}" if at else name
+            text = store.get(key_of(path))
+            if text is not None:
+                found[path] = json.loads(text)
+            if text is None or node_type(text) == "group":
+                waiting.append(path)
+    meta.consolidated = dict(sorted(found.items()))
     store.set(METADATA_KEY, meta.to_json().encode())
     return Group(store, "", meta)
 

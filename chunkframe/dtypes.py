@@ -175,6 +175,19 @@ class DType:
             out[...] = fill
         return out
 
+    def fills(self, flat: np.ndarray, fill) -> np.ndarray:
+        """Which cells of a rank-1 block equal the fill value, as ``is_fill`` compares."""
+        if self.kind in ("float", "complex"):
+            want, out = np.array(fill, self.numpy), np.ones(flat.shape, bool)
+            for part in ("real", "imag") if self.kind == "complex" else ("real",):
+                a, b = getattr(flat, part), getattr(want, part)
+                out &= np.isnan(a) if np.isnan(b) else (a == b) & (np.signbit(a) == np.signbit(b))
+            return out
+        if self.kind == "struct":
+            raw = np.ascontiguousarray(flat).view(np.uint8).reshape(len(flat), -1)
+            return (raw == np.frombuffer(np.array(fill, self.numpy).tobytes(), np.uint8)).all(1)
+        return np.asarray(flat == self.filled((), fill)[()], bool)
+
     def is_fill(self, block: np.ndarray, fill) -> bool:
         """All cells equal the fill value bit by bit (any NaN equals a NaN fill)."""
         if block.size > 4096 and self.kind in ("bool", "int", "uint", "float", "time") and not self.is_fill(block[(*(slice(0, 1),) * (block.ndim - 1), slice(0, 4096))], fill):

@@ -225,8 +225,12 @@ class Array:
 
     # -- distributed writes --------------------------------------------------
     def by_chunk(self, df: DataFrame) -> DataFrame:
-        """``df`` dealt so that all cells of a chunk are in one task (for the sink)."""
-        return df.repartition(*chunk_columns(self.meta.coordinate_names, self.chunk_shape)) if self.ndim else df.coalesce(1)
+        """``df`` dealt so that all cells of a chunk are in one task, one after the other (for
+        the sink)."""
+        if not self.ndim:
+            return df.coalesce(1)
+        numbers = chunk_columns(self.meta.coordinate_names, self.chunk_shape)
+        return df.repartition(*numbers).sortWithinPartitions(*numbers)
 
     def write_df(self, df: DataFrame, order_by: str | None = None) -> int:
         """Assign the cells of ``df`` (``i0.., value``): one shuffle on the chunk numbers, then
@@ -339,7 +343,8 @@ class Array:
     # -- shape ---------------------------------------------------------------
     def resize(self, shape, spark: SparkSession | None = None) -> None:
         """Change the shape: metadata first, then chunks outside go and cells of boundary
-        chunks that fell outside are reset to the fill value; in tasks, if a session is given."""
+        chunks that fell outside are reset to the fill value.  With a session this is done in
+        tasks over ranges of chunk numbers; no chunk is listed on the driver."""
         shape = tuple(int(n) for n in (shape if isinstance(shape, (list, tuple)) else [shape]))
         if len(shape) != self.ndim or any(n < 0 for n in shape):
             raise ShapeMismatch(f"shape {shape} for rank {self.ndim}")
@@ -349,21 +354,29 @@ class Array:
         shrunk = [d for d in range(self.ndim) if shape[d] < old.shape[d]]
         if not shrunk:
             return
-        touched = [c for _, c in self._stored() if any((c[d] + 1) * self.chunk_shape[d] > shape[d] for d in shrunk)]
         store, path, meta, keep = self.store, self.path, self.meta, self.write_empty_chunks
         if spark is None or not store.shared:
-            for coords in touched:
-                trim_chunk(store, path, meta, coords, keep)
+            for _, coords in self._stored():
+                if any((coords[d] + 1) * self.chunk_shape[d] > shape[d] for d in shrunk):
+                    trim_chunk(store, path, meta, coords, keep)
             return
 
         def run(batches):
             for batch in batches:
-                for coords in batch.column("c").to_pylist():
-                    trim_chunk(store, path, meta, tuple(coords), keep)
+                for coords in zip(*(c.to_pylist() for c in batch.columns)):
+                    if store.exists(key_of(path, meta.chunk_key(coords))):
+                        trim_chunk(store, path, meta, coords, keep)
                 yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-        rows = spark.createDataFrame([(list(c),) for c in touched], "c array<bigint>")
-        rows.repartition(max(1, min(len(touched), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+        # one box of chunks per shrunk dimension: outside or on the edge of the new shape
+        # there, inside of it in the shrunk dimensions before, so that no two boxes meet
+        start, count = [0] * self.ndim, list(old.shape)
+        for d in shrunk:
+            edge = shape[d] // self.chunk_shape[d] * self.chunk_shape[d]
+            start[d], count[d] = edge, old.shape[d] - edge
+            if prod(count):
+                self._chunk_table(spark, start, count).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+            start[d], count[d] = 0, edge
 
     def _stored(self) -> list[tuple[str, tuple[int, ...]]]:
         """(key below the array, chunk numbers) of the stored chunks."""
@@ -400,9 +413,22 @@ class Array:
 
     # -- relational helpers --------------------------------------------------
     def chunks_df(self, spark: SparkSession) -> DataFrame:
-        """Stored chunks: ``key, chunk, bytes``."""
-        rows = [(key, list(coords), self.store.size(key_of(self.path, key))) for key, coords in self._stored()]
-        return spark.createDataFrame(rows, T.StructType([T.StructField("key", T.StringType()), T.StructField("chunk", T.ArrayType(T.LongType())), T.StructField("bytes", T.LongType())]))
+        """Stored chunks of the shape: ``key, chunk, bytes``; tasks ask for the sizes, by
+        ranges of chunk numbers."""
+        schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("chunk", T.ArrayType(T.LongType())), T.StructField("bytes", T.LongType())])
+        store, path, meta = self.store, self.path, self.meta
+        if not self.ndim or not store.shared:
+            return spark.createDataFrame([(key, list(coords), store.size(key_of(path, key))) for key, coords in self._stored()], schema)
+
+        def run(batches):
+            for batch in batches:
+                keys = [(meta.chunk_key(c), list(c)) for c in zip(*(c.to_pylist() for c in batch.columns))]
+                sizes = [store.size(key_of(path, k)) for k, _ in keys]
+                rows = [(k, c, n) for (k, c), n in zip(keys, sizes) if n is not None]
+                key, chunk, n = zip(*rows) if rows else ([],) * 3
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(chunk, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["key", "chunk", "bytes"])
+
+        return self._chunk_table(spark, [0] * self.ndim, list(self.shape)).mapInArrow(run, schema)
 
     def codec_names(self) -> list[str]:
         return [build(c).name for c in self.meta.codecs]

@@ -10,8 +10,9 @@ from __future__ import annotations
 import base64
 import json
 import threading
-from functools import partial
+from functools import cache, partial
 from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,11 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import catalog
+from .errors import ChunkframeError
 from .functions.cells import chunk_columns, chunk_coords, chunk_key, saturating_cast
 from .functions.session import shared_folder
 from .operators.array import Array
-from .stores import LocalStore, ManifestStore, Store, ZipStore, resolve
+from .stores import ArrowStore, LocalStore, ManifestStore, MemoryStore, Store, ZipStore, resolve
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -356,25 +358,19 @@ def structured_field(spark, sf_dir):
 
 
 # -- stores ------------------------------------------------------------------
-_ORDERS = "SELECT o_orderkey AS i0, o_totalprice AS value FROM orders"
-
-
-@_query(_ORDERS)
-def zip_scan(spark, sf_dir):
-    array = vector(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", chunk=2000, codecs=[_entry("zstd")])
-    path = array.store.root + ".zip"
+def _zipped(store: Store) -> ZipStore:
+    path = store.root + ".zip"
     with ZipStore(path, "w") as packed:
-        for key in array.store.list():
-            packed.set(key, array.store.get(key))
-    return catalog.open(ZipStore(path), "a").cells(spark)
+        for key in store.list():
+            packed.set(key, store.get(key))
+    return ZipStore(path)
 
 
-@_query(_ORDERS)
-def manifest_scan(spark, sf_dir):
-    array = vector(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", chunk=2000, codecs=[_entry("gzip", level=1)])
-    index, blob, entries = LocalStore(array.store.root + "-index"), bytearray(b"padding"), {}
-    for n, key in enumerate(array.store.list()):
-        data = array.store.get(key)
+def _manifest(store: Store) -> ManifestStore:
+    """The chunks of a store in one file behind a manifest, every third one inline."""
+    index, blob, entries = LocalStore(store.root + "-index"), bytearray(b"padding"), {}
+    for n, key in enumerate(store.list()):
+        data = store.get(key)
         if key.endswith(".json"):
             index.set(key, data)
         elif n % 3 == 0:
@@ -384,21 +380,103 @@ def manifest_scan(spark, sf_dir):
             blob += data
     index.set("blob.bin", bytes(blob))
     index.set("manifest.json", json.dumps({"manifest_format": 1, "default_path": "blob.bin", "chunks": entries}).encode())
-    return catalog.open(ManifestStore(index.root), "a").cells(spark)
+    return ManifestStore(index.root)
+
+
+_ORDERS = "SELECT o_orderkey AS i0, o_totalprice AS value FROM orders"
+
+
+@_query(_ORDERS)
+def zip_scan(spark, sf_dir):
+    array = vector(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", chunk=2000, codecs=[_entry("zstd")])
+    return catalog.open(_zipped(array.store), "a").cells(spark)
+
+
+@_query(_ORDERS)
+def manifest_scan(spark, sf_dir):
+    array = vector(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", chunk=2000, codecs=[_entry("gzip", level=1)])
+    return catalog.open(_manifest(array.store), "a").cells(spark)
+
 
+class _Ranges(SimpleHTTPRequestHandler):
+    """Files, and byte ranges of them."""
 
-class _Quiet(SimpleHTTPRequestHandler):
     def log_message(self, *_):
         pass
 
+    def do_GET(self):
+        asked, path = self.headers.get("Range", ""), Path(self.translate_path(self.path))
+        if not asked.startswith("bytes=") or not path.is_file():
+            return super().do_GET()
+        data = path.read_bytes()
+        first, _, last = asked[6:].partition("-")
+        start = int(first) if first else max(0, len(data) - int(last))
+        part = data[start : int(last) + 1 if first and last else len(data)]
+        if not part:
+            return self.send_error(416)
+        self.send_response(206)
+        self.send_header("Content-Range", f"bytes {start}-{start + len(part) - 1}/{len(data)}")
+        self.send_header("Content-Length", str(len(part)))
+        self.end_headers()
+        self.wfile.write(part)
+
+
+@cache
+def _server(folder: str) -> ThreadingHTTPServer:
+    """One server for all stores below a folder, as long as the process lives."""
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(_Ranges, directory=folder))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server
+
+
+def _served(store: Store) -> str:
+    root = Path(store.root)
+    return f"http://127.0.0.1:{_server(str(root.parent)).server_port}/{root.name}"
+
 
 @_query(_ORDERS)
 def http_scan(spark, sf_dir):
     """Over a server on the driver's loopback (local sessions only)."""
     array = vector(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", chunk=2000, codecs=[_entry("zstd")])
-    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(_Quiet, directory=array.store.root))
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    return catalog.open(f"http://127.0.0.1:{server.server_port}", "a").cells(spark)
+    return catalog.open(_served(array.store), "a").cells(spark)
+
+
+def _shards_behind(name: str, behind):
+    @_query(f"SELECT * FROM {_E} WHERE i0 >= 120 AND i0 < 260 AND i1 >= 20 AND i1 < 40", name)
+    def run(spark, sf_dir):
+        array = embeddings(spark, sf_dir, chunk=(50, 16), shard_shape=(200, 64), codecs=[_entry("zstd")])
+        return _double(catalog.open(behind(array.store), "embeddings").cells(spark).where("i0 >= 120 AND i0 < 260 AND i1 >= 20 AND i1 < 40"))
+
+
+_shards_behind("http_shard_ranges", _served)
+_shards_behind("manifest_shard_ranges", _manifest)
+_shards_behind("zip_shard_ranges", _zipped)
+_shards_behind("arrow_shard_ranges", lambda store: ArrowStore(f"file://{store.root}"))
+
+
+@_query("SELECT n_nationkey AS i0, n_name AS value FROM nation")
+def memory_scan(spark, sf_dir):
+    """Written on the driver into memory and shipped to the tasks with the plan."""
+    rows = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").toArrow()
+    array = catalog.create(MemoryStore(), [rows.num_rows], "string", path="a", chunk_shape=[10])
+    array.write(rows.column("n_name").to_pylist())
+    return array.cells(spark)
+
+
+@_query("""SELECT store, call, bytes FROM (VALUES ('local'), ('memory'), ('zip'), ('http'), ('arrow'), ('manifest')) s(store), (VALUES ('range', '345'), ('clipped', '89'),
+('suffix', '789'), ('long suffix', '0123456789'), ('missing', NULL)) c(call, bytes)""")
+def store_ranges(spark, sf_dir):
+    """The byte ranges that shards are read by, of every store."""
+    local, memory = _store(spark), MemoryStore()
+    for store in (local, memory):
+        for key in ("first", "k"):  # of a manifest one is inline, one in the file
+            store.set(key, b"0123456789")
+    stores = {"local": local, "memory": memory, "zip": _zipped(local), "http": resolve(_served(local)), "arrow": ArrowStore(f"file://{local.root}"), "manifest": _manifest(local)}
+    rows = []
+    for name, store in stores.items():
+        got = {"range": store.get_partial("k", 3, 3), "clipped": store.get_partial("k", 8, 9), "suffix": store.get_suffix("k", 3), "long suffix": store.get_suffix("k", 99), "missing": store.get_partial("x", 0, 3)}
+        rows += [(name, call, data if data is None else bytes(data).decode()) for call, data in got.items()]
+    return spark.createDataFrame(rows, "store string, call string, bytes string")
 
 
 # -- hierarchy ---------------------------------------------------------------
@@ -428,6 +506,79 @@ def consolidated_children(spark, sf_dir):
     return catalog.consolidate_metadata(_hierarchy(spark, sf_dir)).item("nation").children_df(spark)
 
 
+@_query(_TREE.replace("FROM (VALUES", "FROM (SELECT path, depth - 1 AS depth, node_type, n, dtype FROM (VALUES").replace("t(path, depth, node_type, n, dtype)", "t(path, depth, node_type, n, dtype)) WHERE path LIKE 'nation%'"))
+def subgroup_tree(spark, sf_dir):
+    df = catalog.open(_hierarchy(spark, sf_dir), "nation").catalog_df(spark)
+    return df.select("path", "depth", "node_type", F.col("shape")[0].alias("n"), "dtype")
+
+
+_LOOKUP = {"nation": True, "nation/name": True, "nation/comment": False, "orders/totalprice": True, "part": False}
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', {str(found).lower()})" for name, found in _LOOKUP.items()) + ") t(name, found)")
+def child_exists(spark, sf_dir):
+    root = catalog.open(_hierarchy(spark, sf_dir))
+    return spark.createDataFrame([(name, name in root) for name in _LOOKUP], "name string, found boolean")
+
+
+@_query("SELECT n_nationkey AS i0, n_name AS value FROM nation")
+def overwrite_node(spark, sf_dir):
+    """A longer array of another type at the same path leaves nothing behind."""
+    store = _store(spark)
+    vector(spark, sf_dir, "customer", "c_custkey", "c_acctbal", chunk=10, store=store)
+    return vector(spark, sf_dir, "nation", "n_nationkey", "n_name", dtype="string", chunk=10, store=store, overwrite=True).cells(spark)
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS start, count(*) AS extent FROM nation")
+def default_chunks(spark, sf_dir):
+    """Without a chunk shape the array is one chunk."""
+    df = _table(spark, sf_dir, "nation")
+    array = catalog.create(_store(spark), [_length(df, "n_nationkey")], "int32", path="a")
+    array.write_df(df.select(F.col("n_nationkey").alias("i0"), F.col("n_regionkey").alias("value")))
+    return array.blocks(spark).select(*(F.col(c)[0].alias(c) for c in ("chunk", "start", "extent")))
+
+
+#: Wrong calls and the identifiers of their errors.
+_ERRORS = {
+    "open a missing node": "NodeNotFound", "delete a missing node": "NodeNotFound", "create twice": "NodeExists", "create below an array": "NodeExists",
+    "climb out of the store": "InvalidPath", "open a number": "InvalidStore", "subscript too large": "Indexing", "subscripts of another rank": "Indexing", "empty subscript": "Indexing",
+    "region too large": "Indexing", "delete a cell": "Indexing", "resize to another rank": "ShapeMismatch", "append another width": "ShapeMismatch", "assign too few values": "ShapeMismatch",
+    "chunk of zero cells": "InvalidChunkShape", "shard no multiple of chunk": "InvalidChunkShape", "unknown type": "UnsupportedDataType", "unknown codec": "UnsupportedCodec",
+    "order twice": "InvalidCodecs", "broken document": "InvalidMetadata", "unknown format": "UnsupportedFeature", "broken checksum": "ChecksumError", "write over HTTP": "StoreError", "write into a zip opened to read": "StoreError",
+}
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{call}', '{error}')" for call, error in _ERRORS.items()) + ") t(call, error)")
+def error_identifiers(spark, sf_dir):
+    store = _hierarchy(spark, sf_dir)
+    array = catalog.open(store, "nation/regionkey")
+    square = catalog.create(store, [4, 6], "int32", path="square", chunk_shape=[2, 2], codecs=[_entry("crc32c")])
+    square.write([[1] * 6] * 4)
+    square.store.set("square/c/0/0", square.store.get("square/c/0/0")[:-1] + b"?")
+    store.set("broken/zarr.json", b"{")
+    store.set("old/zarr.json", json.dumps({**json.loads(square.meta.to_json()), "storage_transformers": [{"name": "x"}]}).encode())
+    calls = {
+        "open a missing node": lambda: catalog.open(store, "x"), "delete a missing node": lambda: catalog.delete_node(store, "x"),
+        "create twice": lambda: catalog.create(store, [2], path="square"), "create below an array": lambda: catalog.create(store, [2], path="square/x"),
+        "climb out of the store": lambda: catalog.open(store, "../x"), "open a number": lambda: catalog.open(3), "subscript too large": lambda: array[[25]],
+        "subscripts of another rank": lambda: array[0, 0], "empty subscript": lambda: array[[]], "region too large": lambda: array.read([20], [6]), "delete a cell": lambda: array.__delitem__(0),
+        "resize to another rank": lambda: array.resize([2, 2]), "append another width": lambda: square.append([[1, 2]]), "assign too few values": lambda: square.__setitem__((slice(0, 2), slice(0, 2)), [1, 2, 3]),
+        "chunk of zero cells": lambda: catalog.create(store, [2], path="y", chunk_shape=[0]), "shard no multiple of chunk": lambda: catalog.create(store, [8], path="y", chunk_shape=[2], shard_shape=[3]),
+        "unknown type": lambda: catalog.create(store, [2], "float8", path="y"), "unknown codec": lambda: catalog.create(store, [2], path="y", codecs=[_entry("nope")]),
+        "order twice": lambda: catalog.create(store, [2, 2], path="y", order="F", codecs=[_entry("transpose", order=[1, 0])]), "broken document": lambda: catalog.open(store, "broken"),
+        "unknown format": lambda: catalog.open(store, "old"), "broken checksum": lambda: square.read(), "write over HTTP": lambda: resolve("http://127.0.0.1:9").set("k", b""),
+        "write into a zip opened to read": lambda: _zipped(store).set("k", b""),
+    }
+    rows = []
+    for call, run in calls.items():
+        try:
+            run()
+            rows.append((call, None))
+        except ChunkframeError as e:
+            rows.append((call, e.identifier))
+    return spark.createDataFrame(rows, "call string, error string")
+
+
 @_query("SELECT * FROM (VALUES ('nation', 'group')) t(name, node_type)")
 def delete_node(spark, sf_dir):
     store = _hierarchy(spark, sf_dir)

@@ -146,11 +146,14 @@ class CellReader(DataSourceReader):
             if self.fields:
                 values = pa.StructArray.from_arrays([values.field(f) for f in self.fields], names=self.fields)
             if self.null_fill:
-                fills = np.array([dtype.is_fill(flat[k : k + 1], self.meta.fill) for k in range(at, end)])
-                values = pa.array([None if f else v for f, v in zip(fills, values.to_pylist())], values.type)
+                values = values.take(pa.array(np.arange(end - at), mask=dtype.fills(flat[at:end], self.meta.fill)))
             yield pa.RecordBatch.from_arrays([*columns, values], names=[*self.names, "value"])
 
 
+#: Bytes of rows that a task of the sink holds before it patches their chunks.
+HELD_BYTES = 128 << 20
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, chunks):
         self.chunks = chunks
@@ -158,7 +161,9 @@ class _Written(WriterCommitMessage):
 
 class CellWriter(DataSourceArrowWriter):
     """Patches chunks in place.  The rows of a chunk must be in one task (``Array.by_chunk``);
-    two tasks on one chunk are an error at commit."""
+    two tasks on one chunk are an error at commit.  A task holds about ``HELD_BYTES`` of its
+    rows at a time; a chunk whose rows are farther apart is patched again.  Chunks that a
+    failed job has stored stay; writing the same rows again gives the whole result."""
 
     def __init__(self, store, path, meta, names):
         if not store.shared:
@@ -166,14 +171,23 @@ class CellWriter(DataSourceArrowWriter):
         self.store, self.path, self.meta, self.names = store, path, meta, names
 
     def write(self, iterator):
-        batches = list(iterator)
-        rows = pa.Table.from_batches(batches) if batches else None
-        if rows is None or not rows.num_rows:
-            return _Written([])
+        done, held, size = {}, [], 0
+        for batch in iterator:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= HELD_BYTES:
+                done.update(dict.fromkeys(self._patch(pa.Table.from_batches(held))))
+                held, size = [], 0
+        if held:
+            done.update(dict.fromkeys(self._patch(pa.Table.from_batches(held))))
+        return _Written(list(done))
+
+    def _patch(self, rows):
         index = [rows.column(n).to_numpy() for n in self.names]
         if not index:
             patch_cells(self.store, self.path, self.meta, (), [], rows.column("value"))
-            return _Written([()])
+            return [()]
         chunk = np.stack([i // c for i, c in zip(index, self.meta.chunk_shape)])
         order = np.lexsort(chunk[::-1])
         cuts = np.flatnonzero((np.diff(chunk[:, order], axis=1) != 0).any(0)) + 1
@@ -183,7 +197,7 @@ class CellWriter(DataSourceArrowWriter):
             coords = tuple(int(k) for k in chunk[:, picked[0]])
             patch_cells(self.store, self.path, self.meta, coords, [i[picked] for i in index], rows.column("value").take(pa.array(picked)))
             done.append(coords)
-        return _Written(done)
+        return done
 
     def commit(self, messages):
         seen = [c for m in messages if m is not None for c in m.chunks]

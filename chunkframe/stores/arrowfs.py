@@ -89,6 +89,27 @@ class ArrowStore(Store):
             if self.exists(key):
                 raise StoreError(f"{key}: {e}") from e
 
+    def list_dir(self, prefix=""):
+        from pyarrow import fs
+
+        if prefix and self.exists(prefix):
+            return []
+        found = self._open().get_file_info(fs.FileSelector(self._path(prefix), allow_not_found=True))
+        return sorted(i.base_name for i in found if not i.base_name.startswith(".writing-"))
+
+    def erase_below(self, prefix=""):
+        if prefix and self.exists(prefix):
+            return self.erase(prefix)
+        try:
+            if prefix:
+                self._open().delete_dir(self._path(prefix))
+            else:
+                self._open().delete_dir_contents(self._root, missing_dir_ok=True)
+        except FileNotFoundError:
+            pass
+        except OSError as e:
+            raise StoreError(f"{prefix}: {e}") from e
+
     def list(self, prefix=""):
         from pyarrow import fs
 

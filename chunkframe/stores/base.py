@@ -30,6 +30,11 @@ class Store:
     def erase(self, key: str) -> None:
         raise StoreError(f"{type(self).__name__} is read-only")
 
+    def erase_below(self, prefix: str = "") -> None:
+        """Remove ``prefix`` and all keys below it; stores that can do so in one call do."""
+        for key in self.list(prefix):
+            self.erase(key)
+
     def list(self, prefix: str = "") -> list[str]:
         """All keys below ``prefix``, sorted."""
         raise StoreError(f"{type(self).__name__} can't be listed")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from ..errors import StoreError
@@ -76,6 +77,19 @@ class LocalStore(Store):
         except OSError as e:
             raise StoreError(f"{key}: {e}") from e
 
+    def erase_below(self, prefix=""):
+        top = self._path(prefix)
+        if os.path.isfile(top):
+            return self.erase(prefix)
+        try:
+            for name in os.listdir(top) if os.path.isdir(top) else []:
+                inner = os.path.join(top, name)
+                shutil.rmtree(inner) if os.path.isdir(inner) and not os.path.islink(inner) else os.unlink(inner)
+            if prefix and os.path.isdir(top):
+                os.rmdir(top)
+        except OSError as e:
+            raise StoreError(f"{prefix}: {e}") from e
+
     def list(self, prefix=""):
         top = self._path(prefix)
         if os.path.isfile(top):

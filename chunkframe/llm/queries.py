@@ -114,12 +114,12 @@ QUERIES = {
 
 def op10_sql():
     rows = ", ".join(f"('{d}', TIMESTAMP '{t} 00:00:00', '{a}')" for d, t, a in BLOCK_LIST)
-    return f"""
-WITH p AS (SELECT row_number() OVER () AS rid, page_id, nullif(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+?)[.]?(?::[0-9]*)?(?:[/?#].*)?$', 1), '') AS host,
+    return rf"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, nullif(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]+?)[.]?(?::[0-9]*)?(?:[/?#].*)?$', 1), '') AS host,
            TIMESTAMP '2024-01-01 00:00:00' + CAST(page_id % 365 AS INTEGER) * INTERVAL 1 DAY AS ts FROM pages),
 e(domain, ts, action) AS (VALUES {rows}),
 met AS (SELECT p.rid, e.domain, e.action, row_number() OVER (PARTITION BY p.rid, e.domain ORDER BY e.ts DESC, e.action DESC) AS k
-        FROM p JOIN e ON (p.host = e.domain OR p.host LIKE '%.' || e.domain) AND e.ts <= p.ts),
+        FROM p JOIN e ON (p.host = e.domain OR (p.host LIKE '%.' || e.domain AND NOT regexp_matches(p.host, '^(\[.*\]|[0-9]+([.][0-9]+){{3}})$'))) AND e.ts <= p.ts),
 best AS (SELECT rid, max_by(domain, length(domain)) AS listed_domain FROM met WHERE k = 1 AND action = 'add' GROUP BY rid)
 SELECT page_id, host, listed_domain, listed_domain IS NULL AS kept FROM p LEFT JOIN best USING (rid)"""
 

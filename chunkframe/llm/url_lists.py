@@ -8,8 +8,8 @@ entry of each of the capture's host suffixes at or before the fetch time.
 The join is on the host suffix.  Captures are first reduced to distinct pairs of host
 and fetch time; the verdict goes back to the captures on that pair.
 
-Defined results: a null, empty or malformed address has no host and is kept; a null
-fetch time is judged as before all entries; several entries of one domain and time:
+Defined results: a null, empty or malformed address has no host and is kept; IPv4 and IPv6
+addresses (``10.0.0.1``, ``[::1]``) match as whole hosts only; a null fetch time is judged as before all entries; several entries of one domain and time:
 ``remove`` wins over ``add``; repeated captures are judged each; an empty list keeps
 everything; empty tables give empty tables; input columns with the names of the
 outputs are replaced.
@@ -24,7 +24,9 @@ from pyspark.sql import Window as W
 from ._common import scratch_name, without, written
 
 #: scheme, credentials, host; ports, paths, queries and a final dot of the host are left out
-_HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+?)[.]?(?::[0-9]*)?(?:[/?#].*)?$"
+_HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]+?)[.]?(?::[0-9]*)?(?:[/?#].*)?$"
+#: IPv4 and (in brackets) IPv6 hosts: numbers have no parent domains
+_ADDRESS = r"^(?:\[.*\]|[0-9]+(?:[.][0-9]+){3})$"
 
 
 def host_of(url: Column) -> Column:
@@ -32,10 +34,12 @@ def host_of(url: Column) -> Column:
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parent domains, down to two labels (one, if it has no more)."""
+    """The host and its parent domains, down to two labels (one, if it has no more); of an
+    address the host alone."""
     labels = F.split(host, "[.]")
     last = F.greatest(F.size(labels) - 1, F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    domains = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(host.rlike(_ADDRESS), F.array(host)).otherwise(domains)
 
 
 def intervals(entries: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing names."""
 
+import zlib
+
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from chunkframe.llm import byte_bpe, licence_scan, mixing, quality_rules, secret_scan, simhash, topk_blocks, url_lists
+from chunkframe.llm import byte_bpe, labelled, licence_scan, mixing, quality_rules, secret_scan, simhash, topk_blocks, url_lists
 from chunkframe.llm.byte_cnn import ByteCNN
 from chunkframe.llm.byte_cnn import score as cnn_score
 from chunkframe.llm.toxicity import Toxicity
@@ -76,3 +79,36 @@ def test_url_edges(spark):
     got = [(r["id"], r["host"], r["kept"]) for r in url_lists.judge(captures, entries).orderBy("id").collect()]
     assert got == [(0, None, True), (1, None, True), (2, None, True), (3, "sub.bad.example.com", True), (4, "bad.example.com", False), (5, "bad.example.com", False), (5, "bad.example.com", False), (6, "bad.example.com", True), (7, "notbad.example.com", True)]
     assert url_lists.judge(captures, entries.limit(0)).where("kept").count() == len(rows)
+
+
+def test_url_addresses(spark):
+    """Addresses are whole hosts: neither parts of them nor IPv6 groups are domains."""
+    urls = ["http://10.0.0.1/x", "http://10.0.0.1:80/", "http://[2001:DB8::1]:8080/x", "http://[::1]", "http://a.0.1/x"]
+    captures = spark.createDataFrame(list(enumerate(urls)), "id int, url string").withColumn("fetched_at", F.lit("2024-03-01"))
+    log = [(d, "2024-01-01", "add") for d in ("0.1", "10.0.0.1", "[::1]", "db8::1]")]
+    got = url_lists.judge(captures, spark.createDataFrame(log, "domain string, listed_on string, action string")).orderBy("id").collect()
+    assert [(r["host"], r["listed_domain"]) for r in got] == [("10.0.0.1", "10.0.0.1"), ("10.0.0.1", "10.0.0.1"), ("[2001:db8::1]", None), ("[::1]", "[::1]"), ("a.0.1", "0.1")]
+    none = url_lists.judge(captures, spark.createDataFrame(log[:1], "domain string, listed_on string, action string"))
+    assert none.where("not kept").count() == 1
+
+
+def test_pipeline_on_edge_rows(edge, tmp_path):
+    """All stages one after the other: nulls, empty and repeated rows, clashing columns; an
+    empty table."""
+    for name, df in (("some", edge), ("none", edge.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = corpus_pipeline.run(edge.sparkSession, f"{tmp_path}/some").collect()
+    assert got and 10 in {r["doc_id"] for r in got} and all(r["text"] for r in got)
+    assert corpus_pipeline.run(edge.sparkSession, f"{tmp_path}/none").count() == 0
+
+
+def test_labelled_samples(spark):
+    docs = spark.createDataFrame([(i, "t" * 10 * (i % 7)) for i in range(60)] + [(1, "a"), (2, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id bigint, toxic int")
+    whole = labelled.sample(docs, labels, "toxic", 3, 1)
+    assert len(whole) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
+    few = labelled.sample(docs, labels, "toxic", 3, 1, per_label=5)
+    assert sum(y for _, y in few) == 5 and len(few) == 10
+    short = labelled.sample(docs, labels, "toxic", 3, 1, total_bytes=200)
+    assert 0 < sum(len(t) for t, _ in short) <= 200 and len(short) < len(whole)
+    assert labelled.sample(docs, labels.limit(0), "toxic", 3, 1) == []

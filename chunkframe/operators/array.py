@@ -428,7 +428,8 @@ class Array:
                 key, chunk, n = zip(*rows) if rows else ([],) * 3
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(chunk, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["key", "chunk", "bytes"])
 
-        return self._chunk_table(spark, [0] * self.ndim, list(self.shape)).mapInArrow(run, schema)
+        # the first chunk of an empty dimension may be stored as well
+        return self._chunk_table(spark, [0] * self.ndim, [max(n, 1) for n in self.shape]).mapInArrow(run, schema)
 
     def codec_names(self) -> list[str]:
         return [build(c).name for c in self.meta.codecs]

@@ -421,3 +421,49 @@ def test_error_identifiers():
     names = {"NodeNotFound", "NodeExists", "Indexing", "ShapeMismatch", "InvalidChunkShape", "InvalidCodecs", "InvalidMetadata", "InvalidFillValue", "InvalidPath", "InvalidStore", "UnsupportedFeature",
              "UnsupportedDataType", "UnsupportedCodec", "UnsupportedValue", "ValueError", "TypeMismatch", "CodecError", "ChecksumError", "MissingCodecLibrary", "StoreError", "InternalError"}
     assert names <= {e("x").identifier for e in vars(errors).values() if isinstance(e, type) and issubclass(e, errors.ChunkframeError)}
+
+
+def test_erase_below(tmp_path):
+    """In one call where the store has one; names that only begin alike stay."""
+    for store in (cf.MemoryStore(), cf.LocalStore(tmp_path / "l"), cf.ArrowStore(f"file://{tmp_path}/w")):
+        for key in ("a/zarr.json", "a/c/0/0", "a/b/zarr.json", "ab/zarr.json", "zarr.json"):
+            store.set(key, b"{}")
+        store.erase_below("a")
+        assert store.list() == ["ab/zarr.json", "zarr.json"]
+        store.erase_below("a")
+        store.erase_below()
+        assert store.list() == [] and store.list_dir() == []
+        store.set("k", b"1")  # the store itself is still there
+        assert store.list() == ["k"]
+
+
+def test_consolidation_lists_no_chunk(tmp_path):
+    class Listed(cf.LocalStore):
+        folders = []
+
+        def list(self, prefix=""):
+            raise AssertionError("all keys are listed")
+
+        def list_dir(self, prefix=""):
+            self.folders.append(prefix)
+            return super().list_dir(prefix)
+
+    store = cf.LocalStore(tmp_path)
+    cf.create_group(store)
+    for path in ("a", "g/b", "g/h/c", "g-x"):
+        cf.create(store, (8,), path=path, chunk_shape=(2,)).write(np.ones(8))
+    cf.consolidate_metadata(Listed(tmp_path))
+    assert sorted(cf.open(store).meta.consolidated) == ["a", "g", "g-x", "g/b", "g/h", "g/h/c"]
+    assert sorted(Listed.folders) == ["", "g", "g/h"]
+
+
+@pytest.mark.parametrize("dtype,fill,values", [
+    ("float64", float("nan"), [1.0, float("nan"), -0.0]), ("float64", 0.0, [0.0, -0.0, 1.0]), ("float16", 2.0, [2.0, 1.0]), ("int64", -1, [-1, 2**62]), ("bool", True, [True, False]), ("string", "?", ["?", "", "x"]),
+    ("bytes", b"", [b"", b"a"]), ("complex128", complex(0, float("nan")), [complex(0, float("nan")), 0j]), ("datetime64[s]", None, [np.datetime64("NaT"), np.datetime64(5, "s")]),
+])
+def test_fill_masks(dtype, fill, values):
+    a = cf.create(cf.MemoryStore(), (len(values),), dtype, **({} if fill is None else {"fill_value": fill}))
+    a.write(values)
+    cells = a.read()
+    kind = a.meta.dtype
+    assert kind.fills(cells, a.meta.fill).tolist() == [kind.is_fill(cells[k : k + 1], a.meta.fill) for k in range(len(cells))]

@@ -1,6 +1,7 @@
 """Arrays through Spark: scans with pruning, distributed writes, the sink and streams."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,3 +228,40 @@ def test_empty_subscripts_and_rank_0(spark, store):
         cf.create(store, (), path="z").append(1.0)
     with pytest.raises(errors.UnsupportedCodec):
         cf.create(store, (4,), path="s", chunk_shape=4, codecs=[{"name": "sharding_indexed", "configuration": {"chunk_shape": [2], "codecs": [{"name": "bytes"}], "index_codecs": [{"name": "bytes"}, {"name": "gzip"}]}}])
+
+
+def test_sink_holds_few_rows(spark, tmp_path, monkeypatch):
+    """Rows of a chunk may come in several lots; the last of a cell stays."""
+    from chunkframe.sources import cells as sink
+
+    store = cf.LocalStore(tmp_path)
+    a = cf.create(store, (40, 6), "int32", path="a", chunk_shape=(8, 4))
+    rng = np.random.default_rng(3)
+    rows = np.stack([rng.integers(0, 40, 900), rng.integers(0, 6, 900), np.arange(900) + 1], axis=1)
+    want = np.zeros((40, 6), "int32")
+    for i, j, v in rows:
+        want[i, j] = v
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in part.T], names=["i0", "i1", "value"]) for part in np.split(rows, 30)]
+    monkeypatch.setattr(sink, "HELD_BYTES", 2000)
+    message = sink.CellWriter(store, "a", a.meta, ["i0", "i1"]).write(iter([batches[0].slice(0, 0), *batches]))
+    assert (a.read() == want).all() and len(message.chunks) == len(set(message.chunks)) == 10
+    assert sink.CellWriter(store, "a", a.meta, ["i0", "i1"]).write(iter([])).chunks == []
+
+
+@pytest.mark.parametrize("shape", [(5, 9), (20, 3), (0, 0), (8, 4), (17, 10), (30, 2)])
+@pytest.mark.parametrize("keep", [False, True])
+def test_resize_in_tasks_equals_driver(spark, tmp_path, shape, keep):
+    made = []
+    for name in ("tasks", "driver"):
+        a = cf.create(tmp_path / name, (20, 10), "int32", path="a", chunk_shape=(4, 4), write_empty_chunks=keep)
+        a.write(np.arange(1, 81).reshape(8, 10))  # not all chunks are stored
+        made.append(a)
+    tasks, driver = made
+    tasks.store.list = None  # no key may be listed
+    tasks.resize(shape, spark)
+    del tasks.store.list
+    driver.resize(shape)
+    assert tasks.store.list() == driver.store.list()
+    assert all(tasks.store.get(k) == driver.store.get(k) for k in driver.store.list())
+    rows = {(r["key"], tuple(r["chunk"]), r["bytes"]) for r in tasks.chunks_df(spark).collect()}
+    assert rows == {(k, c, tasks.store.size(f"a/{k}")) for k, c in tasks._stored()}

@@ -39,12 +39,12 @@ def op3_quality_rules(spark, sf_dir):
 
 
 def op4_noisy_channel_toxicity(spark, sf_dir):
-    from .labelled import held_out, sample
-    from .toxicity import Toxicity, score
+    from .labelled import held_out, training
+    from .toxicity import score
+    from .toxicity_fit import fit
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    seen = sample(documents, table(spark, sf_dir, "labels"), "toxic", folds=5, held=0)
-    model = Toxicity().fit([t.decode() for t, _ in seen], [y for _, y in seen])
+    model = fit(training(documents, table(spark, sf_dir, "labels"), "toxic", folds=5, held=0))
     scored = score(documents, model).drop("text")
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -6,13 +6,18 @@ between single letters for nothing or for a word boundary, two separators for a
 Viterbi decoding under a character bigram model picks the restored spelling; all
 lattices of a batch are decoded together, a span of more than ``BLOCK`` positions in
 windows.  Letters spelled out without a boundary are cut into words by a second Viterbi
-pass under the word frequencies of the sample.  The restored text is scored by a logistic
-model over its words.  A span without alternatives has one path only and needs no decoding.
+pass under the word frequencies.  The restored text is scored by a logistic model over its
+words.  A span without alternatives has one path only and needs no decoding.
+
+Every labelled row that may be learnt from counts: ``toxicity_fit.fit`` takes letter pairs, word
+frequencies, the documents of each feature and the logistic model from a whole table, in
+tasks; ``Toxicity.fit`` gets the same model from lists.  All counts are whole numbers and the
+penalised loss has one optimum, so neither order nor partitions matter.
 
 Defined results: null and empty texts have no words and get the score of the model's
 intercept; texts and spans of any length are read whole, with at most ``BLOCK`` lattice
 positions decoded at once; repeated rows get the same score; empty
-tables give empty tables; with only one label in the sample the score leans to it.
+tables give empty tables; with only one label among the rows the score leans to it.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,14 +115,27 @@ def _states(codes: np.ndarray) -> np.ndarray:
 class CharModel:
     """Bigram costs (-log p) over 26 letters and the word edge."""
 
-    def __init__(self, words: Counter):
-        n = np.full((27, 27), 0.2)
-        for word, count in words.items():
+    UNIT = 1 << 20  # parts of a count: whole numbers add up alike in any order
+
+    def __init__(self, words: Mapping[str, int]):
+        self.cost = self.costs(self.pairs(words.items()))
+
+    @classmethod
+    def pairs(cls, counted: Iterable[tuple[str, int]]) -> np.ndarray:
+        """Sums for ``costs`` of some of the words; those of all words are their sum."""
+        n = [0] * 27 * 27
+        for word, count in counted:
             if word.isascii():
                 path = [_EDGE, *(ord(c) - 97 for c in word), _EDGE]
+                parts = round(math.log1p(count) * cls.UNIT)
                 for a, b in zip(path, path[1:]):
-                    n[a, b] += math.log1p(count)
-        self.cost = (-np.log(n / n.sum(1, keepdims=True))).astype(np.float32)
+                    n[27 * a + b] += parts
+        return np.array(n, np.int64)
+
+    @classmethod
+    def costs(cls, pairs: np.ndarray) -> np.ndarray:
+        n = 0.2 + pairs.reshape(27, 27) / cls.UNIT
+        return (-np.log(n / n.sum(1, keepdims=True))).astype(np.float32)
 
 
 def viterbi(spans: list[str], cost: np.ndarray) -> list[str]:
@@ -200,9 +220,11 @@ class WordModel:
 
     MOST, LONGEST, UNKNOWN = 20_000, 24, 14.0
 
-    def __init__(self, words: Counter):
-        total = sum(words.values()) or 1
-        self.cost = {w: -math.log(n / total) for w, n in words.most_common(self.MOST) if len(w) <= self.LONGEST}
+    def __init__(self, words: Mapping[str, int], total: int = 0):
+        """``total``: of all words, where ``words`` holds the most frequent ones only."""
+        total = total or sum(words.values()) or 1
+        most = sorted(words.items(), key=lambda x: (-x[1], x[0]))[: self.MOST]
+        self.cost = {w: -math.log(n / total) for w, n in most if len(w) <= self.LONGEST}
 
     def cut(self, letters: str) -> list[str]:
         """The words of the cheapest cut; a letter of no word costs ``UNKNOWN``."""
@@ -243,10 +265,59 @@ def suspicious(text: str) -> list[str]:
 DENSE = 250
 
 
+@lru_cache(1 << 16)  # the memo of a worker stays bounded
 def _stems(word: str) -> list[str]:
     return [f"^{word[:k]}" for k in (4, 5, 6, 7) if len(word) > k]
 
 
+LEAST_DOCS, MOST_FEATURES, LEAST_CHI2, PENALTY = 4, 500, 30.0, 2e-4
+
+
+def chi_square(a, b, n: np.ndarray) -> np.ndarray:
+    """Of the presence of features in the two labels, negative where it speaks for label 0:
+    ``a`` and ``b`` are their documents of label 0 and 1, ``n`` all documents of the labels."""
+    a, b, n = np.asarray(a, float), np.asarray(b, float), np.asarray(n, float)
+    gap = b * (n[0] - a) - a * (n[1] - b)
+    return n.sum() * gap * abs(gap) / (n[0] * n[1] * (a + b) * (n.sum() - a - b + 0.5))
+
+
+def loss_sums(x: np.ndarray, docs: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and second derivatives, one after the other, of the logistic model ``w``
+    (bias first) over rows ``x`` (1 first) that stand for ``docs`` documents of label 0 and 1;
+    both labels weigh the same.  The sums of all rows are the sum over their parts."""
+    z, each = x @ w, docs * (0.5 / n)
+    total = each.sum(1)
+    p = np.exp(-np.logaddexp(0, -z))
+    loss = total @ np.logaddexp(0, z) - each[:, 1] @ z
+    second = x.T @ ((total * p * (1 - p))[:, None] * x)
+    return np.concatenate([[loss], x.T @ (total * p - each[:, 1]), second.ravel()])
+
+
+def least_loss(sums: Callable[[np.ndarray], np.ndarray], size: int, penalty: float, rounds: int = 100) -> np.ndarray:
+    """The weights of least penalised loss, by Newton steps that are halved until the loss
+    falls.  A slight penalty on the bias bounds it where there is one label only."""
+    ridge = np.array([1e-6] + [penalty] * (size - 1))
+
+    def at(w):
+        s = sums(w)
+        return s[0] + ridge @ (w * w) / 2, s[1 : size + 1] + ridge * w, s[size + 1 :].reshape(size, size) + np.diag(ridge)
+
+    w = np.zeros(size)
+    loss, gradient, second = at(w)
+    for _ in range(rounds):
+        step = np.linalg.solve(second, gradient)
+        while abs(step).max() > 1e-6:
+            ahead = at(w - step)
+            if ahead[0] <= loss - 1e-4 * (gradient @ step) + 1e-13:
+                break
+            step = step / 2
+        else:
+            w = w - step
+            break
+        w, (loss, gradient, second) = w - step, ahead
+    return np.round(w, 6)  # what the order of the sums may change is less
+
+
 class Toxicity:
     def __init__(self):
         self.cost, self.weights, self.bias = None, {}, 0.0
@@ -280,38 +351,30 @@ class Toxicity:
         total = sum(words.values())
         return words.keys() | {s for s, n in stems.items() if n * DENSE >= total}
 
-    def fit(self, texts: list[str], labels: list[int], least_docs: int = 4, most: int = 500, least_chi2: float = 30.0, rounds: int = 400, penalty: float = 2e-4) -> Toxicity:
+    def fit(self, texts: list[str], labels: list[int], least_docs: int = LEAST_DOCS, most: int = MOST_FEATURES, least_chi2: float = LEAST_CHI2, penalty: float = PENALTY) -> Toxicity:
         texts = [t.lower() for t in texts]
         counted = Counter(w for t in texts for w in _WORD.findall(t))
         self.cost, self.words = CharModel(counted).cost, WordModel(counted)
         if not texts:
             return self
-        docs, y = [self.features(d) for d in self.restored(texts)], np.array(labels, float)
+        docs, y = [self.features(d) for d in self.restored(texts)], np.array(labels, int)
         n = np.clip([(y == k).sum() for k in (0, 1)], 1, None)
         seen = [Counter(w for d, k in zip(docs, labels) if k == j for w in d) for j in (0, 1)]
         # words are ranked by the chi-square of their presence in the two labels
-        sign, all_docs = {}, n.sum()
-        for w in seen[0] | seen[1]:
-            a, b = seen[0][w], seen[1][w]
-            if a + b >= least_docs:
-                gap = b * (n[0] - a) - a * (n[1] - b)
-                sign[w] = all_docs * gap * abs(gap) / (n[0] * n[1] * (a + b) * (all_docs - a - b + 0.5))
-        kept = [w for w in sorted(sign, key=lambda w: (-abs(sign[w]), w))[:most] if abs(sign[w]) >= least_chi2]
-        at = {w: j for j, w in enumerate(kept)}
-        x = np.zeros((len(docs), len(kept)))
+        often = [w for w in seen[0] | seen[1] if seen[0][w] + seen[1][w] >= least_docs]
+        sign = dict(zip(often, abs(chi_square([seen[0][w] for w in often], [seen[1][w] for w in often], n))))
+        kept = [w for w in sorted(sign, key=lambda w: (-sign[w], w))[:most] if sign[w] >= least_chi2]
+        at = {w: j for j, w in enumerate(kept, 1)}
+        x = np.zeros((len(docs), len(kept) + 1))
+        x[:, 0] = 1
         for i, d in enumerate(docs):
             for w in at.keys() & d:
                 x[i, at[w]] = 1
-        weight = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
-        w, b = np.zeros(len(kept)), 0.0
-        m = v = np.zeros(len(kept) + 1)
-        for step in range(1, rounds + 1):
-            d = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
-            g = np.append(x.T @ d + penalty * w, d.sum())
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-            w, b = w - move[:-1], b - move[-1]
-        self.weights, self.bias = dict(zip(kept, w)), b
+        return self.weighted(kept, least_loss(lambda w: loss_sums(x, np.eye(2)[y], n, w), len(kept) + 1, penalty))
+
+    def weighted(self, kept: list[str], w: np.ndarray) -> Toxicity:
+        self.weights, self.bias = dict(zip(kept, w[1:].tolist())), float(w[0])
+        self._known.clear()
         return self
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -334,6 +397,18 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
 
 
+def in_slices(texts: list[str | None], slice_chars: int = 2_000_000) -> Iterator[list[str]]:
+    """Texts (null: empty) that are decoded together: about ``slice_chars``, one text at least."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= slice_chars):
+            size += len(texts[end] or "")
+            end += 1
+        yield [t or "" for t in texts[at:end]]
+        at = end
+
+
 def score(df: DataFrame, model: Toxicity, text_col: str = "text", output: str = "score", slice_chars: int = 2_000_000) -> DataFrame:
     """``df`` with the probability ``output`` that its label is 1 (in place of an input
     column of that name)."""
@@ -341,15 +416,7 @@ def score(df: DataFrame, model: Toxicity, text_col: str = "text", output: str =
 
     def run(batches):
         for batch in in_parts(batches):
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            out, at = [np.empty(0)], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= slice_chars):
-                    size += len(texts[end])
-                    end += 1
-                out.append(model.scores(texts[at:end]))
-                at = end
+            out = [np.empty(0), *map(model.scores, in_slices(batch.column(text_col).to_pylist(), slice_chars))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out), pa.float64())], [*batch.schema.names, output])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.DoubleType())]))

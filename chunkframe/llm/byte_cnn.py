@@ -6,6 +6,10 @@ in the chunk stands for it.  The greatest and the mean response over the chunks
 one logistic unit, so that long and short documents look alike.  Training is plain
 back-propagation with Adam on a bounded, balanced sample of labelled rows.
 
+Embedding and filters end as whole multiples of 1 / ``PARTS``.  In double precision their
+products and sums are then exact, whatever order a processor's matrix kernel adds them in,
+so that no score depends on the rows that are scored with it.
+
 Defined results: null and empty texts are one chunk of padding and get a score; a text
 of any length is scored in slices of chunks with bounded memory; repeated rows get
 the same score; empty tables give empty tables; with only one label in the sample
@@ -14,6 +18,8 @@ the score leans to that label.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +30,9 @@ from ._common import in_parts, without
 CHUNK, OVERLAP = 1024, 64
 BLOCK, TAPS = 4, 4  # a filter sees TAPS blocks of BLOCK bytes and moves by one block
 SLICE_CHUNKS = 512
+#: Of a weight; a response has the square of it, and 2 ** 21 chunks of responses up to 256 still
+#: add up exactly in the 53 bits of a double.
+PARTS = 1 << 12
 
 
 def chunks(text: bytes) -> np.ndarray:
@@ -44,28 +53,34 @@ class ByteCNN:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.embed, self.filters = embed, filters
+        self._to_parts()
+
+    def _to_parts(self):
+        for name, parts in (("table", PARTS), ("conv", PARTS), ("bias", PARTS * PARTS)):
+            self.p[name] = np.round(self.p[name] * parts) / np.float32(parts)
 
-    def responses(self, codes: np.ndarray) -> np.ndarray:
-        """(n, CHUNK) bytes -> (n, positions, filters) before the pooling."""
+    def responses(self, codes: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+        """(n, CHUNK) bytes -> (n, positions, filters) before the pooling, under the weights ``p``."""
         n = len(codes)
-        blocks = self.p["table"].take(codes, axis=0).reshape(n * (CHUNK // BLOCK), BLOCK * self.embed)
-        part = (blocks @ self.p["conv"]).reshape(n, CHUNK // BLOCK, TAPS, self.filters)
+        blocks = p["table"].take(codes, axis=0).reshape(n * (CHUNK // BLOCK), BLOCK * self.embed)
+        part = (blocks @ p["conv"]).reshape(n, CHUNK // BLOCK, TAPS, self.filters)
         m = CHUNK // BLOCK - TAPS + 1
         out = part[:, :m, 0] + part[:, 1 : m + 1, 1]
         for t in range(2, TAPS):
             out += part[:, t : m + t, t]
         return out
 
-    def pooled(self, codes: np.ndarray) -> np.ndarray:
+    def pooled(self, codes: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
         """Largest response of each filter in each chunk."""
-        return np.concatenate([np.maximum(self.responses(codes[s : s + 64]).max(1) + self.p["bias"], 0) for s in range(0, len(codes), 64)])
+        return np.concatenate([np.maximum(self.responses(codes[s : s + 64], p).max(1) + p["bias"], 0) for s in range(0, len(codes), 64)])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = np.empty(len(texts))
         held, owner, acc = [], [], {}
+        p = {k: v.astype(np.float64) for k, v in self.p.items()}
 
         def flush():
-            for i, v in zip(owner, np.split(self.pooled(np.concatenate(held)), np.cumsum([len(h) for h in held])[:-1])):
+            for i, v in zip(owner, np.split(self.pooled(np.concatenate(held), p), np.cumsum([len(h) for h in held])[:-1])):
                 top, total, n = acc.get(i, (0.0, 0.0, 0))
                 acc[i] = np.maximum(top, v.max(0)), total + v.sum(0), n + len(v)
             held.clear()
@@ -84,8 +99,8 @@ class ByteCNN:
         if held:
             flush()
         for i, (top, total, n) in acc.items():
-            z = float(np.concatenate((top, total / n)) @ self.p["head"] + self.p["out"][0])
-            out[i] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            z = math.fsum([*(np.concatenate((top, total / n)) * p["head"]).tolist(), float(p["out"][0])])
+            out[i] = 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
         return out
 
     def fit(self, texts: list[bytes], labels: list[int], epochs: int = 10, batch: int = 32, rate: float = 0.01, decay: float = 1e-4, seed: int = 9) -> ByteCNN:
@@ -108,6 +123,7 @@ class ByteCNN:
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
                     self.p[k] -= (rate / (1 + step / 400)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+        self._to_parts()
         return self
 
     def _gradients(self, cut, y, weight):
@@ -115,7 +131,7 @@ class ByteCNN:
         where = np.empty((len(codes), self.filters), np.int64)
         best = np.empty((len(codes), self.filters), np.float32)
         for s in range(0, len(codes), 64):
-            r = self.responses(codes[s : s + 64])
+            r = self.responses(codes[s : s + 64], self.p)
             where[s : s + 64] = r.argmax(1)
             best[s : s + 64] = r.max(1)
         act = np.maximum(best + self.p["bias"], 0)

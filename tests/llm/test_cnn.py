@@ -1,8 +1,14 @@
 """The byte-level network against plain loops and finite differences."""
 
+import json
 import math
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from chunkframe.llm.byte_cnn import BLOCK, CHUNK, OVERLAP, TAPS, ByteCNN, chunks
 
@@ -59,3 +65,40 @@ def test_gradients_equal_finite_differences():
                 ends.append(loss())
             param[at] = old
             assert math.isclose((ends[0] - ends[1]) / 2e-5, flat[at], rel_tol=2e-3, abs_tol=1e-6), (name, at)
+
+
+COMPANY = """
+import json
+import numpy as np
+from chunkframe.llm.byte_cnn import ByteCNN
+
+rng = np.random.default_rng(0)
+docs = [b"", b""] + [rng.integers(32, 127, n).astype(np.uint8).tobytes() for n in rng.integers(0, 9000, 30).tolist()]
+differ = 0
+for model in (ByteCNN(), ByteCNN().fit(docs, [i % 2 for i in range(len(docs))], epochs=3)):
+    alone = [model.scores([d])[0] for d in docs]
+    differ += int(alone[0] != alone[1])
+    for _ in range(40):
+        order = rng.permutation(len(docs))[: rng.integers(2, len(docs))]
+        differ += int((model.scores([docs[i] for i in order]) != [alone[i] for i in order]).sum())
+print(json.dumps([differ, ByteCNN().scores(docs).tolist()]))
+"""
+
+
+@pytest.fixture(scope="module")
+def kernels():
+    """Rows whose score depends on their company, and scores, by the matrix kernels of some processors."""
+    def run(kind):
+        env = {**os.environ, "OPENBLAS_CORETYPE": kind, "PYTHONPATH": os.pathsep.join([str(Path(__file__).resolve().parents[2]), *sys.path])}
+        return json.loads(subprocess.run([sys.executable, "-c", COMPANY], env=env, check=True, capture_output=True, timeout=300).stdout)
+
+    return {kind: run(kind) for kind in ("Haswell", "Sandybridge")}
+
+
+def test_scores_do_not_depend_on_the_rows_beside(kernels):
+    assert [differ for differ, _ in kernels.values()] == [0, 0]
+
+
+def test_matrix_kernels_score_alike(kernels):
+    (_, a), (_, b) = kernels.values()
+    assert np.allclose(a, b, rtol=1e-15, atol=0)

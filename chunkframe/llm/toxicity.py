@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +40,14 @@ BLOCK = 1 << 18  # lattice positions that are decoded together
 # Letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c"}
 _LEET_CLASS = r"0-9@$!|+("
-_LEETED = re.compile(rf"[a-z]*[{_LEET_CLASS}][a-z{_LEET_CLASS}]*")
-_RUN = re.compile(r"([a-z])\1\1")
-_RUN_WORD = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
+# Less the letters before them; with these in front, long words would be scanned from each letter.
+_LEETED = re.compile(rf"[{_LEET_CLASS}][a-z{_LEET_CLASS}]*")
+_RUN_WORD = re.compile(r"([a-z])\1\1[a-z]*")
 _SPACED = re.compile(rf"(?<!\w)[a-z{_LEET_CLASS}](?:[ ._*-]{{1,2}}[a-z{_LEET_CLASS}]){{2,}}(?!\w)")
+# The second and third character of every ``_SPACED`` span.
+_SPACED_WITHIN = re.compile(rf"[ ._*-][a-z{_LEET_CLASS}][ ._*-]{{1,2}}[a-z{_LEET_CLASS}](?![a-z])")
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = bytes(i if _WORD.fullmatch(chr(i)) else 32 for i in range(256))
 _EDGE = 26  # the state at word boundaries
 _SKIP = 27
 # Costs of the channel in nats.
@@ -244,21 +248,37 @@ class WordModel:
         return out[::-1]
 
 
+def words_of(text: str) -> list[str]:
+    """The matches of ``_WORD``; most texts are Latin-1, where a table of bytes finds them."""
+    try:
+        return text.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
+
+
+def _with_letters_before(pattern: re.Pattern, text: str) -> Iterator[str]:
+    for m in pattern.finditer(text):
+        start, end = m.span()
+        while start and "a" <= text[start - 1] <= "z":
+            start -= 1
+        yield text[start:end]
+
+
 def suspicious(text: str) -> list[str]:
     """The spans of lower-cased ``text`` that have alternatives."""
     found = []
-    for m in _LEETED.finditer(text):
-        whole = m.group()
+    for whole in _with_letters_before(_LEETED, text):
         s = whole.rstrip("@$!|+(")
-        if not any("a" <= c <= "z" for c in s):
+        if not s.islower():  # no letters
             continue
         if not s.isalpha():
             found.append(s)
         if 0 < len(whole) - len(s) <= 2:  # letters, or the marks of a sentence
             found.append(whole)
-    if _RUN.search(text):
-        found += [m.group() for m in _RUN_WORD.finditer(text)]
-    found += [m.group() for m in _SPACED.finditer(text)]
+    found += _with_letters_before(_RUN_WORD, text)
+    within = _SPACED_WITHIN.search(text)
+    if within:  # a span starts two characters before it, or later
+        found += [m.group() for m in _SPACED.finditer(text, max(0, within.start() - 2))]
     return found
 
 
@@ -270,6 +290,22 @@ def _stems(word: str) -> list[str]:
     return [f"^{word[:k]}" for k in (4, 5, 6, 7) if len(word) > k]
 
 
+class _Hits(dict):
+    """Of words met: the word, its weight and its weighted stems; None where there are none."""
+
+    MOST = 500_000  # the memo of a worker stays bounded
+
+    def __init__(self, weights: Mapping[str, float]):
+        self.weights, self.heads = weights, {s[1:5] for s in weights if s[0] == "^"}
+
+    def __missing__(self, word: str) -> tuple[str, float, list[str]] | None:
+        if len(self) >= self.MOST:
+            self.clear()
+        stems = [s for s in _stems(word) if s in self.weights] if word[:4] in self.heads else []
+        hit = self[word] = (word, self.weights.get(word, 0.0), stems) if stems or word in self.weights else None
+        return hit
+
+
 LEAST_DOCS, MOST_FEATURES, LEAST_CHI2, PENALTY = 4, 500, 30.0, 2e-4
 
 
@@ -322,7 +358,7 @@ class Toxicity:
     def __init__(self):
         self.cost, self.weights, self.bias = None, {}, 0.0
         self.words = WordModel(Counter())
-        self._known: dict[str, tuple[float, list[str]]] = {}  # of words met: weight, weighted stems
+        self._known = _Hits(self.weights)
 
     def restored(self, texts: list[str]) -> list[Counter]:
         """Per text how often the words stand in it, with those that decoding restores."""
@@ -334,7 +370,7 @@ class Toxicity:
                 spelt[s] = spelt[s] + [w for x in spelt[s] if len(x) > 3 and len(cut := self.words.cut(x)) > 1 for w in cut if len(w) > 1]
         out = []
         for text, found in zip(texts, spans):
-            words = Counter(_WORD.findall(text))
+            words = Counter(words_of(text))
             for s in found:
                 words.update(spelt[s])
             out.append(words)
@@ -344,16 +380,18 @@ class Toxicity:
     def features(words: Counter) -> set[str]:
         """Words that occur, and dense beginnings of words (marked by ^): stems with many
         endings that make up at least one word in ``DENSE``."""
-        stems = Counter()
-        for w, n in words.items():
-            for s in _stems(w):
-                stems[s] += n
         total = sum(words.values())
+        if total <= DENSE:
+            return words.keys() | set(chain.from_iterable(map(_stems, words)))
+        long = [w for w in words.elements() if len(w) > 4]
+        heads = Counter([w[:4] for w in long])  # longer stems are no denser than their heads
+        dense = {s for s, n in heads.items() if n * DENSE >= total}
+        stems = Counter(chain.from_iterable(map(_stems, [w for w in long if w[:4] in dense])))
         return words.keys() | {s for s, n in stems.items() if n * DENSE >= total}
 
     def fit(self, texts: list[str], labels: list[int], least_docs: int = LEAST_DOCS, most: int = MOST_FEATURES, least_chi2: float = LEAST_CHI2, penalty: float = PENALTY) -> Toxicity:
         texts = [t.lower() for t in texts]
-        counted = Counter(w for t in texts for w in _WORD.findall(t))
+        counted = Counter(w for t in texts for w in words_of(t))
         self.cost, self.words = CharModel(counted).cost, WordModel(counted)
         if not texts:
             return self
@@ -374,22 +412,17 @@ class Toxicity:
 
     def weighted(self, kept: list[str], w: np.ndarray) -> Toxicity:
         self.weights, self.bias = dict(zip(kept, w[1:].tolist())), float(w[0])
-        self._known.clear()
+        self._known = _Hits(self.weights)
         return self
 
     def scores(self, texts: list[str]) -> np.ndarray:
         z, known, weights = [], self._known, self.weights
         for words in self.restored([t.lower() for t in texts]):
-            if len(known) > 500_000:  # the memo of a worker stays bounded
-                known.clear()
             total, stems = self.bias, Counter()
-            for w, n in words.items():
-                hit = known.get(w)
-                if hit is None:
-                    hit = known[w] = (weights.get(w, 0.0), [s for s in _stems(w) if s in weights])
-                total += hit[0]
-                for s in hit[1]:
-                    stems[s] += n
+            for w, weight, found in filter(None, map(known.__getitem__, words)):
+                total += weight
+                for s in found:
+                    stems[s] += words[w]
             if stems:
                 least = sum(words.values()) / DENSE
                 total += sum(weights[s] for s in sorted(stems) if stems[s] >= least)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import in_parts, written
-from .toxicity import _WORD, LEAST_CHI2, LEAST_DOCS, MOST_FEATURES, PENALTY, CharModel, Toxicity, WordModel, chi_square, in_slices, least_loss, loss_sums
+from .toxicity import LEAST_CHI2, LEAST_DOCS, MOST_FEATURES, PENALTY, CharModel, Toxicity, WordModel, chi_square, in_slices, least_loss, loss_sums, words_of
 
 #: Words that a task counts at once, before it passes them on.
 TALLY_WORDS = 200_000
@@ -43,7 +43,7 @@ def _count_words(batches):
 
     for texts, _ in _slices(batches):
         for t in texts:
-            words.update(_WORD.findall(t))
+            words.update(words_of(t))
             if len(words) > TALLY_WORDS:
                 yield tallied()
                 words.clear()

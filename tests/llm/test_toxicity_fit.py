@@ -68,3 +68,20 @@ def test_rows_beyond_a_sample_teach_the_query(spark, tmp_path):
     got = queries.op4_noisy_channel_toxicity(spark, str(tmp_path)).join(docs, "doc_id")
     wrong = got.where("predicted != doc_id % 2").groupBy("text").count().collect()
     assert wrong == [] and got.count() == n
+
+
+def test_held_out_texts_are_dropped_before_the_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(60)] + [(None, "x")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    plans, written = [], labelled.written
+
+    def noted(df, what):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, what)
+
+    monkeypatch.setattr(labelled, "written", noted)
+    monkeypatch.setattr(labelled, "small", lambda df: df.hint("merge"))
+    got = sorted((r["text"], r["y"]) for r in labelled.training(docs, labels, "toxic", 3, 1).collect())
+    assert got == sorted((f"t{i}", i % 2) for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1)
+    below = plans[-1][plans[-1].index("Join") :]
+    assert "crc32" in below
